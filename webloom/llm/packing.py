@@ -36,10 +36,38 @@ class Params:
     cache_words: int = 300_000
 
 
+class _Known(dict):
+    """Ids of pre-tokens, as little-endian 32-bit bytes, found when first asked for and kept up to a bound."""
+
+    def __init__(self, model, limit: int):
+        self.model, self.limit = model, limit
+        self.four = [i.to_bytes(4, "little") for i in range(model_size(model))]
+        # The tokenizer's stand-ins for bytes: printable ones for themselves, the others from code point 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.table = {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in plain)}
+
+    def __missing__(self, part: str) -> bytes:
+        four = self.four
+        found = b"".join([four[t.id] for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.table))])
+        if len(part) <= 48:
+            if len(self) >= self.limit:
+                self.clear()
+            self[part] = found
+        return found
+
+
+def model_size(model) -> int:
+    """One more than the largest id that a model gives."""
+    n = 1 << 16
+    while n and model.id_to_token(n - 1) is None:
+        n -= 1
+    return n
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes. Byte-pair merges never cross the tokenizer's pre-tokens, so the ids
-    of a pre-token are looked up in a bounded table and only new ones go through the tokenizer. Texts with code points
-    beyond Latin-1, where Python's character classes differ, go through it whole."""
+    """Ids of texts as little-endian 32-bit bytes. Byte-pair merges never cross the tokenizer's pre-tokens, so texts are
+    cut into those, and the tokenizer's model is asked only for pre-tokens that are not in a bounded table. Texts with
+    code points beyond Latin-1, where Python's character classes differ, go through the whole tokenizer."""
 
     # The tokenizer's own pattern, with its letter and number classes written out for Latin-1.
     LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -54,24 +82,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit, self.known = cache_words, {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.known = _Known(self.tokenizer.model, cache_words)
 
     def encode(self, text: str) -> bytes:
-        if not self.PLAIN.fullmatch(text):
-            return self._packed([text])[0]
-        parts = self.SPLIT.findall(text)
-        known = self.known
-        if new := [x for x in set(parts) if x not in known]:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._packed(new), strict=True))
-        return b"".join([known[x] for x in parts])
+        if self.PLAIN.fullmatch(text):
+            return b"".join(map(self.known.__getitem__, self.SPLIT.findall(text)))
+        four = self.known.four
+        return b"".join([four[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
 
 def pieces(docs: DataFrame, p: Params = Params()) -> DataFrame:

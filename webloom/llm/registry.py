@@ -12,6 +12,7 @@ from webloom.llm.pii import op2_pii
 from webloom.llm.quality_rules import op1_quality_rules
 from webloom.llm.sharding import op4_sharding
 from webloom.llm.simhash_golay import op10_simhash_golay
+from webloom.llm.suffix_dedup import op3_suffix_dedup
 from webloom.llm.toxicity import op8_toxicity
 from webloom.llm.warc import op6_warc
 from webloom.llm.winnowing import op5_winnowing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_pii": op2_pii,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_sharding": op4_sharding,
         "op5_winnowing": op5_winnowing,
         "op6_warc": op6_warc,
