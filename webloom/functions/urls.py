@@ -6,6 +6,8 @@ all of it stays inside the JVM and next to the scan. International host names ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,22 +27,30 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def trimmed(url: Column | str) -> Column:
     """A URL without white space around it and line breaks or tabs in it."""
     return F.regexp_replace(F.btrim(_c(url)), "[\\t\\n\\r]", "")
 
 
-def _part(url: Column | str, i: int) -> Column:
-    return F.regexp_extract(trimmed(url), _URL, i)
+def _with_parts(url: Column | str, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a URL's parts: scheme, host (null for none), port, path and query as they stand, and whole."""
+    cut = lambda t, i: F.regexp_extract(t, _URL, i)
+    host = lambda t: F.lower(cut(t, 2))
+    return let(trimmed(url), lambda t: let(F.struct(F.lower(cut(t, 1)).alias("scheme"), F.when(host(t) != "", host(t)).alias("host"), cut(t, 3).alias("port"), cut(t, 4).alias("path"), cut(t, 5).alias("query"), t.alias("whole")), f))
 
 
 def scheme(url: Column | str) -> Column:
-    return F.lower(_part(url, 1))
+    return F.lower(F.regexp_extract(trimmed(url), _URL, 1))
 
 
 def extract_domain(url: Column | str) -> Column:
     """The host in lower case without its port, or null."""
-    host = F.lower(_part(url, 2))
+    host = F.lower(F.regexp_extract(trimmed(url), _URL, 2))
     return F.when(host != "", host)
 
 
@@ -71,26 +81,32 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike("/(\\.|\\.\\.|%2[eE])(/|$)"), closed).otherwise(path)
 
 
+def _path(p: Column) -> Column:
+    raw = F.regexp_replace(p["path"], "\\\\", "/")
+    raw = F.when((raw == "") & p["host"].isNotNull(), F.lit("/")).otherwise(raw)
+    return let(let(raw, _without_dots), _escaped)
+
+
 def path(url: Column | str) -> Column:
     """The path; of a URL with a host at least a slash."""
-    raw = F.regexp_replace(_part(url, 4), "\\\\", "/")
-    raw = F.when((raw == "") & (_part(url, 2) != ""), F.lit("/")).otherwise(raw)
-    return _escaped(_without_dots(raw))
+    return _with_parts(url, _path)
 
 
 def _decoded(x: Column) -> Column:
     return F.coalesce(F.try_url_decode(x), x)
 
 
-def query_pairs(url: Column | str) -> Column:
-    """Decoded (k, v) pairs in the order of the URL."""
-    parts = F.filter(F.split(_part(url, 5), "&"), lambda x: x != "")
-
+def _pairs(p: Column) -> Column:
     def pair(x: Column) -> Column:
         value = F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise(F.lit(""))
         return F.struct(_decoded(F.substring_index(x, "=", 1)).alias("k"), _decoded(value).alias("v"))
 
-    return F.transform(parts, pair)
+    return F.transform(F.filter(F.split(p["query"], "&"), lambda x: x != ""), pair)
+
+
+def query_pairs(url: Column | str) -> Column:
+    """Decoded (k, v) pairs in the order of the URL."""
+    return _with_parts(url, _pairs)
 
 
 def is_tracking(key: Column) -> Column:
@@ -108,53 +124,66 @@ def encode_sorted_query(pairs: Column) -> Column:
 
 
 def _with_query(start: Column, pairs: Column) -> Column:
-    text = encode_sorted_query(pairs)
-    return F.when(text == "", start).otherwise(F.concat(start, F.lit("?"), text))
+    return let(encode_sorted_query(pairs), lambda text: F.when(text == "", start).otherwise(F.concat(start, F.lit("?"), text)))
 
 
-def _authority(url: Column | str) -> Column:
-    port = F.regexp_replace(_part(url, 3), "^0+(?=[0-9])", "")
-    shown = (port != "") & ~is_default_port(scheme(url), port)
-    return F.concat(scheme(url), F.lit("://"), extract_domain(url), F.when(shown, F.concat(F.lit(":"), port)).otherwise(F.lit("")))
+def _authority(p: Column, user: Column | None = None) -> Column:
+    port = F.regexp_replace(p["port"], "^0+(?=[0-9])", "")
+    shown = F.when((port != "") & ~is_default_port(p["scheme"], port), F.concat(F.lit(":"), port)).otherwise(F.lit(""))
+    return F.concat(p["scheme"], F.lit("://"), *([] if user is None else [user]), p["host"], shown)
 
 
 def canonicalize_url(url: Column | str) -> Column:
     """Without fragment, user, default port and tracking parameters; the others distinct, sorted and encoded anew.
     Null where a URL cannot be parsed or has no host."""
-    pairs = F.array_distinct(F.filter(query_pairs(url), lambda x: ~is_tracking(x["k"])))
-    return F.when(extract_domain(url).isNotNull(), _with_query(F.concat(_authority(url), path(url)), pairs))
+
+    def build(p: Column) -> Column:
+        pairs = F.array_distinct(F.filter(_pairs(p), lambda x: ~is_tracking(x["k"])))
+        return F.when(p["host"].isNotNull(), _with_query(F.concat(_authority(p), _path(p)), pairs))
+
+    return _with_parts(url, build)
 
 
 def remove_pagination_params(url: Column | str) -> Column:
     """The key of an article: without pagination, fragment, user and a bare root path. Other text stays as it is."""
-    pairs = F.filter(query_pairs(url), lambda x: ~is_pagination(x["k"]))
-    bare = F.when(path(url) == "/", F.lit("")).otherwise(path(url))
-    return F.when(extract_domain(url).isNotNull(), _with_query(F.concat(_authority(url), bare), pairs)).otherwise(_c(url))
+
+    def build(p: Column) -> Column:
+        pairs = F.filter(_pairs(p), lambda x: ~is_pagination(x["k"]))
+        bare = let(_path(p), lambda x: F.when(x == "/", F.lit("")).otherwise(x))
+        return F.when(p["host"].isNotNull(), _with_query(F.concat(_authority(p), bare), pairs))
+
+    return F.coalesce(_with_parts(url, build), _c(url))
 
 
 def normalize_url_for_merge(url: Column | str) -> Column:
     """Like the article key, with root path, user and fragment kept; null where a URL cannot be parsed."""
-    user = F.regexp_extract(trimmed(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*@)", 1)
-    fragment = F.regexp_extract(trimmed(url), "(#.*)$", 1)
-    pairs = F.filter(query_pairs(url), lambda x: ~is_pagination(x["k"]))
-    start = F.concat(F.regexp_replace(_authority(url), "^([^:]+://)", F.concat(F.lit("$1"), F.regexp_replace(user, "\\$", "\\\\\\$"))), path(url))
-    return F.when(extract_domain(url).isNotNull(), F.concat(_with_query(start, pairs), fragment))
+
+    def build(p: Column) -> Column:
+        user = F.regexp_extract(p["whole"], r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*@)", 1)
+        pairs = F.filter(_pairs(p), lambda x: ~is_pagination(x["k"]))
+        start = F.concat(_authority(p, user), _path(p))
+        return F.when(p["host"].isNotNull(), F.concat(_with_query(start, pairs), F.regexp_extract(p["whole"], "(#.*)$", 1)))
+
+    return _with_parts(url, build)
 
 
 def _page(url: Column | str) -> Column:
     return F.get(F.filter(query_pairs(url), lambda x: is_pagination(x["k"])), 0)["v"]
 
 
-def page_number(url: Column | str) -> Column:
-    """The first pagination parameter as a number of 32 bits without sign, else null."""
-    value = _page(url)
+def _number(value: Column) -> Column:
     number = F.when(value.rlike("^\\+?[0-9]{1,18}$"), value.cast("bigint"))
     return F.when(number < (1 << 32), number)
 
 
+def page_number(url: Column | str) -> Column:
+    """The first pagination parameter as a number of 32 bits without sign, else null."""
+    return let(_page(url), _number)
+
+
 def page_text(url: Column | str) -> Column:
     """The first pagination parameter where it is not a number, else null."""
-    return F.when(page_number(url).isNull(), _page(url))
+    return let(_page(url), lambda x: F.when(_number(x).isNull(), x))
 
 
 def is_http_url(url: Column | str) -> Column:

@@ -329,7 +329,7 @@ def article_complete(spark, d):
 @query(f"SELECT article_url, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars FROM {_SQL_ARTICLES} GROUP BY 1")
 def stream_articles(spark, d):
     """The merge as a stream over the pages table, with pages in keyed state."""
-    rows = spark.readStream.schema(read(spark, d, "pages").schema).parquet(f"{d}/pages.parquet")
+    rows = spark.readStream.schema(read(spark, d, "pages").schema).parquet(f"{d}/pages.parque[t]")
     more = rows.where("url like '%page=%'").select("page_id", F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("?page=3")).alias("url"), F.lit("third").alias("html"))
     both = rows.select("page_id", "url", "html").unionByName(more)
     pages = both.select("url", F.lit(TIME).cast("long").alias("fetch_time"), F.col("html").alias("text"), F.array("url").alias("links"), html.title("html").alias("title"))
@@ -489,7 +489,7 @@ def legacy_stories(spark, d):
 
 
 def _events(spark, d) -> DataFrame:
-    rows = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    rows = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
