@@ -11,9 +11,8 @@ from webloom.functions import jsonld, urls
 
 def scan(spark: SparkSession, directory: str, only_json: bool = True) -> DataFrame:
     """(path, value) of every file below a directory, whole; with ``only_json`` of those named *.json."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    reader = reader.option("pathGlobFilter", "*.json") if only_json else reader
-    return reader.text(directory).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json" if only_json else None)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def valid_json(value: Column | str) -> Column:
