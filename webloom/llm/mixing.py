@@ -81,7 +81,7 @@ def plan(sums: DataFrame, p: Params) -> DataFrame:
     """(__s, epochs, n_blocks) of every source with tokens."""
     ends = sums.agg(F.max("total"), F.min("total")).first()
     if ends[0] is None:
-        return sums.select("__s", F.lit(1.0).alias("epochs"), F.lit(1).alias("n_blocks"))
+        return sums.select("__s", "total", F.lit(1.0).alias("epochs"), F.lit(1).alias("n_blocks"))
     exponent = repetition_exponent(ends[0], ends[1], p.max_epochs)
     if p.entropy is not None:
         exponent = max(exponent, entropy_exponent(sums, p.entropy))
@@ -106,15 +106,15 @@ def schedule(docs: DataFrame, p: Params = Params()) -> DataFrame:
     light = docs.select(F.col("doc_id"), source_of().alias("__s"), n.alias("tokens")).join(plan(sums, p), "__s")
     light = light.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil("epochs") - 1).cast("int"))))
     light = light.withColumn("block", F.pmod(F.xxhash64("doc_id", "epoch", F.lit(p.seed + 1)), F.col("n_blocks")).cast("int"))
-    blocks = light.groupBy(*group).agg(F.sum("tokens").alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    blocks = light.groupBy(*group).agg(F.sum("tokens").alias("__sum"))
     order = Window.partitionBy("__s", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(p.seed)), "block")
-    blocks = blocks.withColumns({"__block_rank": F.row_number().over(order) - 1, "__start": F.coalesce(F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    df = df.join(blocks, group, "left")
+    blocks = blocks.withColumn("__start", F.coalesce(F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    df = df.join(blocks, group, "left").withColumn("__at", F.coalesce("__start", F.lit(0)) + F.col("__before"))
     budget = (F.col("epochs") - F.floor("epochs")) * F.col("total")
     partial = F.col("epoch") >= F.floor("epochs")
-    df = df.where(~partial | (F.coalesce("__start", F.lit(0)) + F.col("__before") < budget))
-    place = (F.coalesce("__block_rank", F.lit(0)) + (F.col("rank") - 0.5) / F.coalesce("__n", F.lit(1))) / F.col("n_blocks")
-    return df.select(*kept, "tokens", "epoch", "block", "rank", ((F.col("epoch") + F.least(place, F.lit(1.0))) / F.col("epochs")).alias("at"))
+    df = df.where(~partial | (F.col("__at") < budget))
+    place = F.when(F.col("total") > 0, F.col("__at") / F.col("total")).otherwise(F.lit(0.0))
+    return df.select(*kept, "tokens", "epoch", "block", "rank", ((F.col("epoch") + place) / F.col("epochs")).alias("at"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
