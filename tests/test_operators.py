@@ -169,3 +169,22 @@ def test_stream_waits_for_all_pages(spark, tmp_path):
     assert rows(streams.run_to_table(stream(), out, check), "article_url") == [("http://b.com",)]
     spark.createDataFrame([("http://a.com/s?page=2", 1, "two", [], "T2")], schema).coalesce(1).write.mode("append").parquet(src)
     assert rows(streams.run_to_table(stream(), out, check), "article_url", "n_pages", "title") == [("http://a.com/s", 2, "T"), ("http://b.com", 1, "B")]
+
+
+def test_tables(spark):
+    from webloom.sources import tables
+
+    for name in tables.TABLES:
+        assert tables.ensure(spark, name, f"webloom_test_{name}").count() == 0
+        assert tables.ensure(spark, name, f"webloom_test_{name}").count() == 0
+        spark.sql(f"DROP TABLE webloom_test_{name}")
+
+
+def test_fetch_and_rounds(spark):
+    web = {"http://a.com/": b'<a href="/b">b</a>', "http://a.com/b": b"<a href='/c'>c</a>"}
+    got = page_sources.fetch(spark.createDataFrame([("http://a.com/",), ("http://x.com/",)], "url string"), lambda u: web[u], 5)
+    assert rows(got, "url", "status_code", "fetch_time") == [("http://a.com/", 200, 5)]
+    source = spark.createDataFrame([(k, v) for k, v in web.items()], "url string, body binary")
+    state, pages = crawl.run(spark, page_sources.seeds(spark, ["http://a.com"]), source, spark.createDataFrame([("a.com",)], "domain string"), 3, 5, 100)
+    assert rows(state, "url", "status") == [("http://a.com/", "complete"), ("http://a.com/b", "complete"), ("http://a.com/c", "in_progress")]
+    assert rows(pages, "url", "fetch_time") == [("http://a.com/", 100), ("http://a.com/b", 101)]

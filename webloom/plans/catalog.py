@@ -107,7 +107,10 @@ def archive_paths(spark, d):
     return read(spark, d, "pages").select("page_id", urls.balanced_path("archive", "url", F.lit(TIME)).alias("balanced"), urls.full_path("archive", "url", F.lit(TIME)).alias("full_path"))
 
 
-@query()
+_KEY_NAME = "regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(k, '^https://', ''), '^http://', ''), '[^A-Za-z0-9._/-]', '-', 'g'), 200), '^-+|-+$', '', 'g')"
+
+
+@query(f"SELECT page_id, 'archive/' || CASE WHEN s = '' OR s LIKE '%/' THEN s || 'index' ELSE s END || '.json' AS path FROM (SELECT page_id, {_KEY_NAME} AS s FROM (SELECT page_id, {_KEY} AS k FROM pages))")
 def archive_path_default(spark, d):
     return read(spark, d, "pages").select("page_id", urls.default_path("archive", "url").alias("path"))
 
@@ -132,6 +135,20 @@ def robots_filter(spark, d):
     return frontier.crawlable(pages, domains, domains.withColumn("txt", F.lit(_ROBOTS))).select("page_id")
 
 
+_SEEDS = ["HTTP://A.com:80/x?utm_source=f&b=2&a=1#top", "nonsense", "https://b.org", "mailto:x@y.z"]
+
+
+@query("SELECT * FROM (VALUES ('http://a.com/x?a=1&b=2', 0, 0::BIGINT), ('https://b.org/', 0, 0)) AS t(url, priority, depth)")
+def seed_urls(spark, d):
+    return page_sources.seeds(spark, _SEEDS).select("url", "priority", "depth")
+
+
+@query(f"SELECT url, host || CASE WHEN r > 1 THEN '_' || (r - 1) ELSE '' END || '.json' AS target FROM (SELECT url, {_HOST} AS host, dense_rank() OVER (PARTITION BY {_HOST} ORDER BY url) AS r FROM pages)")
+def path_collisions(spark, d):
+    rows = read(spark, d, "pages").select("url", F.concat(urls.extract_domain("url"), F.lit(".json")).alias("path"))
+    return archive.collisions(rows, "path", "url").select("url", "target")
+
+
 # --- pages --------------------------------------------------------------------------------------------------------
 
 
@@ -363,6 +380,20 @@ def snapshot_distance(spark, d):
     return rows.select("url", "fetch_time", F.when(F.col("n").isNotNull(), history.max_distance(F.col("pages"), F.col("n"))).alias("distance"))
 
 
+@query("SELECT c.conv_id::VARCHAR AS url, c.turn AS fetch_time FROM conversations c JOIN (SELECT conv_id, max(turn) AS newest FROM conversations WHERE text IS NOT NULL AND role = 'user' GROUP BY 1) a USING (conv_id) WHERE c.text IS NOT NULL AND c.turn <= a.newest")
+def snapshot_late(spark, d):
+    """Turns that are no later than the newest user turn of their conversation."""
+    rows = read(spark, d, "conversations").where("text is not null").select(F.col("conv_id").cast("string").alias("url"), F.col("turn").alias("fetch_time"), "role")
+    return history.late(rows, rows.where("role = 'user'")).select("url", "fetch_time")
+
+
+@query()
+def snapshot_merge(spark, d):
+    rows = _turn_pages(spark, d).withColumn("links", F.array().cast("array<string>"))
+    old = history.compacted(rows.where("fetch_time < 2")).select(*rows.columns)
+    return history.merge_into_archive(old, rows).select("url", "fetch_time", "is_current")
+
+
 @query()
 def snapshot_deltas(spark, d):
     return history.with_deltas(history.compacted(_turn_pages(spark, d))).select("url", "fetch_time", "is_current", F.get("deltas", 0)["delta"].alias("delta"))
@@ -452,6 +483,20 @@ def search_display(spark, d):
     return search.display(search.top_k(points, _query_vector(spark, d), 5)).withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("SELECT * FROM (VALUES (0, 2.0, 3.0), (1, 5.0, 7.0)) AS t(i, x, y)".replace("2.0, 3.0", "2.0::DOUBLE, 3.0::DOUBLE"))
+def mean_pooling(spark, d):
+    rows = spark.createDataFrame([(0, [[1.0, 2.0], [3.0, 4.0]]), (1, [[5.0, 7.0]])], "i int, t array<array<float>>")
+    pooled = vectors.mean_pool("t")
+    return rows.select("i", pooled[0].alias("x"), pooled[1].alias("y"))
+
+
+@query()
+def search_query(spark, d):
+    """From documents to points to the results of a text query."""
+    merged = read(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("article_url"), F.array(F.struct(F.lit(1).cast("long").alias("page"), F.col("text").alias("text"))).alias("pages"))
+    return crawl.find(crawl.points(merged), "the and of", 5)
+
+
 @query()
 def vector_approximate(spark, d):
     return search.approximate_top_k(read(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", F.round("score", 4).alias("score"))

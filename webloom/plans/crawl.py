@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom import schemas
 from webloom.functions import html, urls
 from webloom.operators import articles, frontier, search
+from webloom.session import stored
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -33,6 +34,19 @@ def crawl_round(state: DataFrame, source: DataFrame, domains: DataFrame, n: int,
     return frontier.enqueue(state, frontier.discovered(found, domains, robots)), pages
 
 
+def run(spark: SparkSession, seeds: DataFrame, source: DataFrame, domains: DataFrame, rounds: int, n: int, now: int, state: DataFrame | None = None, robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rounds`` rounds from seeds, or from an earlier frontier whose unfinished claims are taken up again. The
+    frontier and the pages of each round are stored, so plans stay short and a lost executor costs no earlier round."""
+    state = frontier.reset(state) if state is not None else spark.createDataFrame([], schemas.FRONTIER)
+    state, found = stored(frontier.enqueue(state, seeds, force=True), "frontier"), None
+    for i in range(rounds):
+        state, pages = crawl_round(state, source, domains, n, now + i, robots)
+        pages = stored(pages, "pages")
+        state = stored(state, "frontier")
+        found = pages if found is None else found.unionByName(pages)
+    return state, found
+
+
 def points(merged: DataFrame, least_bytes: int = 5000, size: int = 500, overlap: int = 96, factory=search.hashing_embedder) -> DataFrame:
     """(id, vector, text, chunk_id, source) from merged articles (article_url, pages)."""
     texts = merged.select(F.col("article_url").alias("source"), articles.indexable("pages", least_bytes).alias("body")).where("body is not null")

@@ -34,6 +34,11 @@ def typed(df: DataFrame, value: str = "value") -> DataFrame:
     return df.withColumn("page", page).where(needed)
 
 
+def tasks(df: DataFrame, value: str = "value") -> DataFrame:
+    """The tasks of documents, read by a narrow schema."""
+    return df.select(F.from_json(F.col(value), schemas.TASK_ONLY)["task"].alias("task")).where("task.url is not null").select("task.*")
+
+
 def snapshots(pages: DataFrame) -> DataFrame:
     """(url, fetch_time, is_current, pages) of every snapshot of typed pages, pages as (page, kind, text, delta)."""
     both = F.concat(F.array(F.struct(F.lit(True).alias("is_current"), F.col("page.current").alias("s"))), F.transform(F.coalesce("page.historical_snapshots", F.array()), lambda x: F.struct(F.lit(False).alias("is_current"), x.alias("s"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,26 @@ def fetched(pages: DataFrame, archive_time: int, body: str = "html") -> DataFram
     return pages.select("url", F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("content_type"), F.lit(archive_time).cast("bigint").alias("fetch_time"), F.col(body).cast("binary").alias("body"))
 
 
+def fetch(tasks: DataFrame, get: Callable[[str], bytes | None], archive_time: int) -> DataFrame:
+    """Pages of (url) tasks by a fetch function, called in the tasks that hold them; URLs for which it returns None or
+    raises are left out, and stay in progress in a frontier."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            got = []
+            for url in batch.column(0).to_pylist():
+                try:
+                    got.append((url, get(url)))
+                except Exception:  # a page that cannot be had is like one that is not there
+                    got.append((url, None))
+            got = [x for x in got if x[1] is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.binary())], names=["url", "body"])
+
+    return fetched(tasks.select("url").mapInArrow(run, "url string, body binary"), archive_time, "body")
+
+
 def limited(body: Column | str, limit: int) -> Column:
     """(text, error): the body as text, or 'too_large' beyond ``limit`` bytes, or 'utf8' where it is not valid."""
     b = F.col(body) if isinstance(body, str) else body
