@@ -22,15 +22,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where a session has none (tests on one
-    machine) a temporary folder is made and set, which is refused on a cluster."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    machine) a temporary folder is made for the session, which is refused on a cluster."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="webloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _made:
+            _made[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="webloom-")
+        found = _made[context.applicationId]
     return found.rstrip("/")
 
 
