@@ -2,48 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.session import new_folder, read, shared_dir, stored
+
+__all__ = ["SPACE", "SPACE_RE", "WORD_RE", "new_folder", "once", "read", "shared_dir", "stored", "whole", "words"]
+
 #: The white space of the operators' contracts: space and the code points 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of a data folder; the path may be on any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where a session has none (tests on one
-    machine) a temporary folder is made and set, which is refused on a cluster."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="webloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors, and costly parts
-    that several branches read are computed once."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole(text: Column | str) -> Column:
     """A text with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
