@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import read, whole, words
+from webloom.llm.common import read, stored, whole, words
 
 ADDED = ("tokens", "epoch", "block", "rank", "at")
 
@@ -93,28 +93,30 @@ def schedule(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Every row of the mix: the columns of ``docs`` with tokens, epoch, block, rank and at."""
     kept = [c for c in docs.columns if c not in ADDED]
     n = F.size(words(whole("text"))).cast("long")
-    sums = totals(docs.select(source_of().alias("__s"), n.alias("tokens")))
-    df = docs.select(*kept, source_of().alias("__s"), n.alias("tokens")).join(plan(sums, p), "__s", "left")
-    df = df.withColumns({"epochs": F.coalesce("epochs", F.lit(1.0)), "n_blocks": F.coalesce("n_blocks", F.lit(1)), "total": F.coalesce("total", F.lit(0.0))})
-    df = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil("epochs") - 1).cast("int"))))
-    df = df.withColumn("__h", F.xxhash64("doc_id", "epoch", F.lit(p.seed)))
-    df = df.withColumn("block", F.pmod(F.xxhash64("doc_id", "epoch", F.lit(p.seed + 1)), F.col("n_blocks")).cast("int"))
-    group = ["__s", "epoch", "block"]
-    inside = Window.partitionBy(*group).orderBy("__h", "doc_id", "tokens")
+    sums = stored(totals(docs.select(source_of().alias("__s"), n.alias("tokens"))), "totals")
+    # Stored, so that Spark knows its size: below the broadcast threshold no text moves to meet it.
+    weights = stored(plan(sums, p).withColumnsRenamed({"total": "__total", "epochs": "__epochs", "n_blocks": "__n_blocks"}), "weights")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(weights, "__s", "left").withColumns({"__epochs": F.coalesce("__epochs", F.lit(1.0)), "__n_blocks": F.coalesce("__n_blocks", F.lit(1)), "__total": F.coalesce("__total", F.lit(0.0))})
+        rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil("__epochs") - 1).cast("int"))))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "epoch", F.lit(p.seed + 1)), F.col("__n_blocks")).cast("int"))
+        # One column, so that a partitioning by source does not pass for one by block.
+        return rows.withColumn("__g", F.struct("__s", "epoch", "block"))
+
+    df = dealt(docs.select(*kept, source_of().alias("__s"), n.alias("tokens"))).withColumn("__h", F.xxhash64("doc_id", "epoch", F.lit(p.seed)))
+    inside = Window.partitionBy("__g").orderBy("__h", "doc_id", "tokens")
     up_to = inside.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({"rank": F.row_number().over(inside).cast("long"), "__before": F.coalesce(F.sum("tokens").over(up_to), F.lit(0))})
-    light = docs.select(F.col("doc_id"), source_of().alias("__s"), n.alias("tokens")).join(plan(sums, p), "__s")
-    light = light.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil("epochs") - 1).cast("int"))))
-    light = light.withColumn("block", F.pmod(F.xxhash64("doc_id", "epoch", F.lit(p.seed + 1)), F.col("n_blocks")).cast("int"))
-    blocks = light.groupBy(*group).agg(F.sum("tokens").alias("__sum"))
-    order = Window.partitionBy("__s", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(p.seed)), "block")
-    blocks = blocks.withColumn("__start", F.coalesce(F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    df = df.join(blocks, group, "left").withColumn("__at", F.coalesce("__start", F.lit(0)) + F.col("__before"))
-    budget = (F.col("epochs") - F.floor("epochs")) * F.col("total")
-    partial = F.col("epoch") >= F.floor("epochs")
+    blocks = dealt(docs.select("doc_id", source_of().alias("__s"), n.alias("tokens"))).groupBy("__g").agg(F.sum("tokens").alias("__sum"))
+    order = Window.partitionBy("__g.__s", "__g.epoch").orderBy(F.xxhash64("__g.block", "__g.epoch", F.lit(p.seed)), "__g.block")
+    blocks = blocks.select("__g", F.coalesce(F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    df = df.join(stored(blocks, "blocks"), "__g", "left").withColumn("__at", F.coalesce("__start", F.lit(0)) + F.col("__before"))
+    budget = (F.col("__epochs") - F.floor("__epochs")) * F.col("__total")
+    partial = F.col("epoch") >= F.floor("__epochs")
     df = df.where(~partial | (F.col("__at") < budget))
-    place = F.when(F.col("total") > 0, F.col("__at") / F.col("total")).otherwise(F.lit(0.0))
-    return df.select(*kept, "tokens", "epoch", "block", "rank", ((F.col("epoch") + place) / F.col("epochs")).alias("at"))
+    place = F.when(F.col("__total") > 0, F.col("__at") / F.col("__total")).otherwise(F.lit(0.0))
+    return df.select(*kept, "tokens", "epoch", "block", "rank", ((F.col("epoch") + place) / F.col("__epochs")).alias("at"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
