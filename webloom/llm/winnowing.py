@@ -101,17 +101,23 @@ def successors(ids: DataFrame, p: Params) -> DataFrame:
 
 
 def with_next(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, text, head, next fingerprint) of every document: head is what of the next document's text goes into the
-    edited text. Whole texts are dealt by id once; of the next text only its head travels, with its fingerprint."""
-    docs = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
+    """(doc_id, text, head, next_hashes) of every document: head is what of the next document's text goes into the
+    edited text. Whole texts are dealt by id once, as both sides of the exchange of heads read the same shuffle; of the
+    next text only its head travels, with its hashes."""
+    # A cast that changes nothing would make the two sides of the exchange look different to the planner.
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = docs.select(doc_id, whole("text").alias("text"))
+    known = docs.where("doc_id is not null")
     # A shuffle of (id, length) alone; the greatest length where an id repeats.
-    ids = docs.groupBy("doc_id").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"))
-    chain = successors(ids.where("doc_id is not null"), p)
+    ids = known.groupBy("doc_id").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"))
+    chain = successors(ids, p)
     before = chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("cut"))
-    sent = docs.join(before, "doc_id").select("prev_id", "doc_id", "text", "cut")
-    sent = chosen(sent, "text", "next_print", p).select(F.col("prev_id").alias("doc_id"), F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, cut)").alias("head"), F.col("next_print").alias("print")).alias("next"))
+    sent = known.join(before, "doc_id").select("prev_id", "doc_id", "text", "cut")
+    sent = chosen(sent, "text", "next_print", p).select(F.col("prev_id").alias("doc_id"), F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, cut)").alias("head"), hashes(F.col("next_print")).alias("hashes")).alias("next"))
     sent = sent.groupBy("doc_id").agg(F.min("next").alias("next"))
-    return docs.join(sent, "doc_id", "left").select("doc_id", "text", F.coalesce("next.head", F.lit("")).alias("head"), F.coalesce("next.print", F.array().cast("array<long>")).alias("next_print"))
+    none = F.array().cast("array<long>")
+    met = known.join(sent, "doc_id", "left").select("doc_id", "text", F.coalesce("next.head", F.lit("")).alias("head"), F.coalesce("next.hashes", none).alias("next_hashes"))
+    return met.unionByName(docs.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), none.alias("next_hashes")))
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +125,6 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = chosen(df, "text", "print")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("__cut", cut).withColumn("__edited", F.expr("concat(left(text, cast(n_chars as int) - __cut), left(head, __cut))"))
-    df = df.select("doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "print", "next_print", "__edited")
-    df = chosen(df, "__edited", "edited_print").select("doc_id", "n_chars", "edited_sha256", "print", "edited_print", hashes(F.col("print")).alias("a"), hashes(F.col("edited_print")).alias("b"), hashes(F.col("next_print")).alias("c"))
+    df = df.select("doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "print", "next_hashes", "__edited")
+    df = chosen(df, "__edited", "edited_print").select("doc_id", "n_chars", "edited_sha256", "print", "edited_print", hashes(F.col("print")).alias("a"), hashes(F.col("edited_print")).alias("b"), F.col("next_hashes").alias("c"))
     return df.select("doc_id", "n_chars", "edited_sha256", shown(F.col("print")).alias("fingerprint"), shown(F.col("edited_print")).alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
