@@ -13,7 +13,7 @@ import numpy as np
 GRAM = 128
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ the input as it is. The work goes from cheap and wide to exact and narrow, and n
 3. Contexts of one anchor that differ share some windows and not others. Their bytes meet in tasks by anchor hash, where
    shards of them get transforms that are merged (see `bwt`); repeated intervals tell the repeated windows.
 4. An anchor with more than ``group`` different contexts, such as a line that very many documents share, would put
-   too much in one task; its windows are counted by 128-bit hashes instead, in partial aggregates that no key can skew.
+   too much in one task; its windows are counted by 128-bit hashes instead, first in blocks, in partial aggregates that no key can skew.
 
 Defined results: a null text counts as empty and has no bytes; texts shorter than a window lose nothing; rows that repeat
 a document are copies of one another. An empty table gives no rows. Columns other than the id and the text are not
@@ -35,9 +35,10 @@ CONTEXT = ["anchor", "c1", "c2", "off", "n"]
 class Params:
     length: int = 400
     step: int = 50
-    shard_bytes: int = 1 << 20
-    merge_bytes: int = 8 << 20
-    group: int = 2048
+    shard_bytes: int = 256 << 10
+    merge_bytes: int = 1 << 20
+    group: int = 1024
+    block: int = 16
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def _anchor_rows(rows: DataFrame, p: Params) -> DataFrame:
 
         from webloom.llm.anchors import anchors
 
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             cols: list[list] = [[] for _ in range(8)]
             for doc_id, rid, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 h, place, first, last, c1, c2 = anchors(data, p.length)
@@ -65,23 +66,23 @@ def _anchor_rows(rows: DataFrame, p: Params) -> DataFrame:
     return rows.mapInArrow(run, ANCHORS)
 
 
-CUT = "anchor long, doc_id long, rid long, first long, n int, single boolean, data binary"
+CUT = "anchor long, doc_id long, rid long, first long, n int, single boolean, data binary, off int, common boolean"
 
 
 def _cut(rows: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """The bytes of wanted contexts (doc_id, rid, anchor, first, n, single). What is wanted of a document is gathered
+    """The bytes of wanted contexts (doc_id, rid, anchor, first, n, single, off, common). What is wanted of a document is gathered
     in one row, which its length bounds."""
-    by_doc = wanted.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "first", "n", "single")).alias("parts"))
+    by_doc = wanted.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("anchor", "first", "n", "single", "off", "common")).alias("parts"))
     joined = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(by_doc, ["doc_id", "rid"]).select("doc_id", "rid", "data", "parts")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out: list[tuple] = []
             for doc_id, rid, data, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                out += [(x["anchor"], doc_id, rid, x["first"], x["n"], x["single"], data[x["first"] : x["first"] + x["n"] - 1 + p.length]) for x in parts]
-                if len(out) > 8192:
+                out += [(x["anchor"], doc_id, rid, x["first"], x["n"], x["single"], data[x["first"] : x["first"] + x["n"] - 1 + p.length], x["off"], x["common"]) for x in parts]
+                if len(out) > 2048:
                     yield _batch(out)
                     out = []
             if out:
@@ -90,7 +91,7 @@ def _cut(rows: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     def _batch(out):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CUT.split(", ")])
 
     return joined.mapInArrow(run, CUT)
@@ -141,27 +142,65 @@ def _merged_marks(cut: DataFrame, p: Params) -> DataFrame:
     return cut.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "first").mapInArrow(run, MARKS)
 
 
+BLOCK = "k1 long, k2 long, at int, f1 long, f2 long, shape int, doc_id long, rid long, first long, start long, size int, single boolean"
+
+
 def _counted_marks(cut: DataFrame, p: Params) -> DataFrame:
-    """Repeated windows among contexts of very common anchors, by counts of their 128-bit hashes."""
+    """Repeated windows among contexts of very common anchors, by counts of 128-bit hashes in partial aggregates.
 
-    def run(batches: Iterator) -> Iterator:
+    Windows go in blocks of ``block`` starts in a row, counted from the anchor. All windows of a block hold its core, so
+    a block whose core occurs once has no repeated window. Blocks that are equal as a whole have nothing but repeated
+    windows, and one of each is compared, window by window, with the different blocks of its core."""
+    def blocks(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         from webloom.llm.anchors import Prefixes
 
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # bounds what it holds
+            cols: list[list] = [[] for _ in range(12)]
+            for _anchor, doc_id, rid, first, n, single, data, off in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                octets = np.frombuffer(data, dtype=np.uint8)
+                one, two = Prefixes(octets, 0), Prefixes(octets, 1)
+                at = np.arange((off - n + 1) // p.block, off // p.block + 1)  # starts run from the anchor back
+                low, high = np.maximum(0, off - p.block * at - p.block + 1), np.minimum(n - 1, off - p.block * at)
+                core = off - p.block * at
+                core_end = core - p.block + 1 + p.length
+                whole_end = high + p.length
+                for c, v in zip(cols, (one(core, core_end).view(np.int64), two(core, core_end).view(np.int64), at.astype(np.int32), one(low, whole_end).view(np.int64), two(low, whole_end).view(np.int64), ((off - low) * 1024 + high - low + 1).astype(np.int32), np.full(len(at), doc_id), np.full(len(at), rid), np.full(len(at), first), first + low, (high - low + 1).astype(np.int32), np.full(len(at), single)), strict=True):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=[x.split()[0] for x in BLOCK.split(", ")])
+
+    def windows(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from webloom.llm.anchors import Prefixes
+
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             cols: list[list] = [[] for _ in range(6)]
-            for _anchor, doc_id, rid, first, n, single, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                octets, at = np.frombuffer(data, dtype=np.uint8), np.arange(n)
-                for c, v in zip(cols, (Prefixes(octets, 0)(at, at + p.length).view(np.int64), Prefixes(octets, 1)(at, at + p.length).view(np.int64), np.full(n, doc_id), np.full(n, rid), first + at, np.full(n, single)), strict=True):
+            for doc_id, rid, first, data, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                octets = np.frombuffer(data, dtype=np.uint8)
+                at = np.concatenate([np.arange(x["start"], x["start"] + x["size"]) for x in parts]) - first
+                single = np.concatenate([np.full(x["size"], x["single"]) for x in parts])
+                for c, v in zip(cols, (Prefixes(octets, 0)(at, at + p.length).view(np.int64), Prefixes(octets, 1)(at, at + p.length).view(np.int64), np.full(len(at), doc_id), np.full(len(at), rid), first + at, single), strict=True):
                     c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["w1", "w2", "doc_id", "rid", "first", "single"])
 
-    windows = stored(cut.mapInArrow(run, "w1 long, w2 long, doc_id long, rid long, first long, single boolean"), "windows")
-    twice = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "twice")
-    return windows.where("single").join(twice, ["w1", "w2"]).select("doc_id", "rid", "first", F.col("first").alias("last"))
+    core, whole_block = ["k1", "k2", "at"], ["k1", "k2", "at", "f1", "f2", "shape"]
+    found = stored(cut.mapInArrow(blocks, BLOCK), "blocks")
+    often = stored(found.groupBy(*core).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*core), "cores")
+    found = stored(found.join(often, core), "repeated-cores")
+    one = stored(found.groupBy(*whole_block).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "rid", "first", "start", "size", "single")).alias("rep")), "whole-blocks")
+    equal = found.where("single").join(one.where("copies > 1").select(*whole_block), whole_block).select("doc_id", "rid", F.col("start").alias("first"), (F.col("start") + F.col("size") - 1).alias("last"))
+    wanted = one.select("rep.doc_id", "rep.rid", "rep.first", F.struct("rep.start", "rep.size", (F.col("rep.single") & (F.col("copies") == 1)).alias("single")).alias("part"))
+    wanted = wanted.groupBy("doc_id", "rid", "first").agg(F.collect_list("part").alias("parts"))  # of one context
+    each = stored(cut.join(wanted, ["doc_id", "rid", "first"]).select("doc_id", "rid", "first", "data", "parts").mapInArrow(windows, "w1 long, w2 long, doc_id long, rid long, first long, single boolean"), "windows")
+    twice = stored(each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "twice")
+    rest = each.where("single").join(twice, ["w1", "w2"]).select("doc_id", "rid", "first", F.col("first").alias("last"))
+    return equal.unionByName(rest)
 
 
 def marks(rows: DataFrame, p: Params = Params()) -> DataFrame:
@@ -173,10 +212,11 @@ def marks(rows: DataFrame, p: Params = Params()) -> DataFrame:
     equal = found.join(contexts.where("copies > 1").select(*CONTEXT), CONTEXT).select("doc_id", "rid", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("copies") == 1).alias("singles")).where("m > 1 and singles > 0")
     groups = stored(groups, "groups")
-    wanted = contexts.join(groups, "anchor").select("anchor", "rep.doc_id", "rep.rid", "rep.first", "n", (F.col("copies") == 1).alias("single"), "m")
+    wanted = contexts.join(groups, "anchor").select("anchor", "rep.doc_id", "rep.rid", "rep.first", "n", "off", (F.col("copies") == 1).alias("single"), (F.col("m") > p.group).alias("common"))
     wanted = stored(wanted, "wanted")
-    merged = _merged_marks(_cut(rows, wanted.where(F.col("m") <= p.group), p), p)
-    counted = _counted_marks(_cut(rows, wanted.where(F.col("m") > p.group), p), p)
+    cut = stored(_cut(rows, wanted, p), "cut")  # one shuffle of texts serves both ways
+    merged = _merged_marks(cut.where("not common").drop("off", "common"), p)
+    counted = _counted_marks(cut.where("common").drop("common"), p)
     return equal.unionByName(merged).unionByName(counted)
 
 
@@ -208,7 +248,7 @@ def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             out: list[tuple] = []
             for doc_id, data, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 n, spans, kept = removed(data, [(x["first"], x["last"]) for x in found or ()], p.length)
