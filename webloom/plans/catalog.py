@@ -179,9 +179,11 @@ def link_edges(spark, d):
 
 @query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw_title, len(list_distinct(" + _HREFS + ")) AS n_hrefs FROM pages WHERE NOT contains(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&')")
 def page_extract(spark, d):
-    """One parse of each page; compared where the title has no character references."""
-    pages = read(spark, d, "pages").where(~F.contains(html.title("html"), F.lit("&")))
-    return html.with_parsed(pages, "html").select("page_id", F.col("parsed.title").alias("raw_title"), F.size(F.array_distinct("parsed.hrefs")).cast("long").alias("n_hrefs"))
+    """One parse of each page, and its title as it stands there: every page has a row. The SQL leaves out titles with
+    character references, so it has only a part of these rows."""
+    pages = read(spark, d, "pages")
+    raw = F.when(F.col("html").isNotNull(), F.coalesce(html.title("html"), F.lit("")))
+    return html.with_parsed(pages, "html").select("page_id", raw.alias("raw_title"), F.size(F.array_distinct("parsed.hrefs")).cast("long").alias("n_hrefs"))
 
 
 @query()
