@@ -9,8 +9,11 @@ import re
 from dataclasses import dataclass
 
 TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
-#: Longest segment in tokens, and tokens of context on both sides of a segment.
-LONGEST, CONTEXT = 14, 6
+#: Tokens of a phone, of an account and of a part of a secret (a whole run of its characters may be longer), and tokens
+#: of context on both sides of a segment. No phone or account that `_MAYBE` accepts has more tokens.
+LONGEST, CONTEXT = {"local_phone": 23, "account": 17, "secret": 23}, 6
+#: Characters of an e-mail address before its at and after it, joins counted as one: more are no address (RFC 5321).
+LOCAL, DOMAIN = 64, 253
 TYPES = ("written_email", "local_phone", "account", "secret")
 _CUES = {
     "secret": {"token", "key", "secret", "password", "passwd", "apikey", "api", "bearer", "pwd"},
@@ -26,7 +29,15 @@ _MAYBE = {
     "secret": re.compile(r"[A-Za-z0-9_-]{16,}"),
 }
 #: What an island has to hold for any segment to be possible: six digits in reach, a bracketed at, or a long mixed word.
-HOT = re.compile(r"(?:[0-9][ ().\-/]{0,2}){6}|[\[(]\s*(?:at|AT|@)\s*[\])]|\b(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}|\b[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
+HOT = re.compile(r"(?:[0-9][ ().\-/]{0,4}){6}|[\[(]\s*(?:at|AT|@)\s*[\])]|\b(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}|(?<![^\W_])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
+_AT = re.compile(r"[\[(]\s*(?:at|AT|@)\s*[\])]")
+_DOT = re.compile(r"[\[(]\s*(?:dot|DOT|\.)\s*[\])]")
+_MORE = re.compile(r"\s*[\[(]\s*(?:dot|DOT|\.)\s*[\])]|\.?[A-Za-z0-9-]")
+_NAME = re.compile(r"\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[(]\s*(?:dot|DOT|\.)\s*[\])])\s*[A-Za-z0-9-]+)*")
+#: Tokens that a segment of a kind may hold, and those that it may begin with.
+_INSIDE = {"local_phone": re.compile(r"[0-9]{1,5}| {1,2}|[()./-]"), "account": re.compile(r" |[A-Z0-9]+"), "secret": re.compile(r"[A-Za-z0-9]+|[_-]")}
+_FIRST = {"local_phone": re.compile(r"[0-9(]"), "account": re.compile(r"[A-Z]{2}[0-9]{2}"), "secret": re.compile(r"[A-Za-z0-9_-]")}
+_LOCAL, _LABEL = re.compile(r"[A-Za-z0-9]+|[._%+-]"), re.compile(r"[A-Za-z0-9]+|-")
 
 
 def _iban(x: str) -> bool:
@@ -63,6 +74,8 @@ def span_features(kind: str, span: str, left: list[str], right: list[str]) -> li
     if kind == "secret":
         out += [f"entropy{int(2 * _entropy(span))}"] + ["hex"] * bool(re.fullmatch("[0-9a-f]{32,}", span)) + ["share" + str(int(4 * digits / len(span)))]
         out += ["switches" + str(min(6, len(re.findall(r"[A-Za-z][0-9]|[0-9][A-Za-z]", span)) // 2))]
+    elif kind == "written_email":
+        out.append("goes_on" if _MORE.match("".join(right)) else "ends")
     elif kind == "account":
         out.append("sum_holds" if _iban(span) else "sum_fails")
     elif kind == "local_phone":
@@ -78,24 +91,74 @@ class Segment:
     features: tuple[str, ...]
 
 
-def segments(tokens: list[str], blocked: list[bool] | None = None) -> list[Segment]:
-    """Every possible segment of an island, with its features. No segment covers a blocked token."""
+def _bracketed(mark: re.Pattern, tokens: list[str], at: int) -> int:
+    """Where a mark in brackets that begins at a token ends, or 0."""
+    for n in (3, 4, 5):  # the mark, with or without white space on either side
+        if mark.fullmatch("".join(tokens[at : at + n])):
+            return min(at + n, len(tokens))
+    return 0
+
+
+def _mails(tokens: list[str], shut: list[bool]) -> list[tuple[int, int]]:
+    """(start, end) of all written-out addresses, of any number of tokens, by walking both ways from each at."""
     found = []
-    for i in range(len(tokens)):
-        if tokens[i].isspace():
+    for i, x in enumerate(tokens):
+        if x not in "[(" or not (k := _bracketed(_AT, tokens, i)) or any(shut[i:k]):
             continue
-        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            if blocked and blocked[j - 1] or "\n" in tokens[j - 1]:
+        starts, at, size = [], i - 1, 0
+        if at >= 0 and tokens[at].isspace() and not shut[at]:
+            at -= 1
+        while at >= 0 and not shut[at] and _LOCAL.fullmatch(tokens[at]) and (size := size + len(tokens[at])) <= LOCAL:
+            starts.append(at)
+            at -= 1
+        ends, joins, size, n = [], 0, 0, len(tokens)
+        while starts:
+            if k < n and tokens[k].isspace() and not shut[k]:
+                k += 1
+            if not (k < n and not shut[k] and _LABEL.fullmatch(tokens[k])):
                 break
-            if tokens[j - 1].isspace():
-                continue
-            span = "".join(tokens[i:j])
-            for kind in TYPES:
-                if possible(kind, span):
-                    found.append(Segment(i, j, kind, tuple(span_features(kind, span, tokens[max(0, i - CONTEXT) : i], tokens[j : j + CONTEXT]))))
+            while k < n and not shut[k] and _LABEL.fullmatch(tokens[k]) and (size := size + len(tokens[k])) <= DOMAIN:
+                k += 1
+                if joins:
+                    ends.append(k)
+            if k < n and tokens[k].isspace() and not shut[k]:
+                k += 1
+            after = k + 1 if k < n and tokens[k] == "." else _bracketed(_DOT, tokens, k) if k < n and tokens[k] in "[(" else 0
+            if not after or any(shut[k:after]) or (size := size + 1) > DOMAIN:
+                break
+            k, joins = after, joins + 1
+        found += [(s, e) for s in starts for e in ends]
     return found
 
 
+def segments(tokens: list[str], blocked: list[bool] | None = None) -> list[Segment]:
+    """Every possible segment of an island, with its features. No segment covers a blocked token.
+
+    Phones, accounts and addresses are bounded by nothing but their own form. A run of a secret's characters may be a
+    segment whole, however long it is, and so may every part of it of at most ``LONGEST`` tokens."""
+    shut = [x or "\n" in t for x, t in zip(blocked or [False] * len(tokens), tokens, strict=True)]
+    spans = [(i, j, "written_email") for i, j in _mails(tokens, shut)]
+    for kind, longest in LONGEST.items():
+        first, inside = _FIRST[kind], _INSIDE[kind]
+        run = 0  # end of the run of a secret's characters that holds the token
+        for i in range(len(tokens)):
+            if shut[i] or not first.match(tokens[i]):
+                continue
+            j, last = i, min(len(tokens), i + longest)
+            while j < last and not shut[j] and inside.fullmatch(tokens[j]):
+                j += 1
+                if possible(kind, "".join(tokens[i:j])):
+                    spans.append((i, j, kind))
+            if kind == "secret" and i >= run:
+                run = max(j, i + 1)
+                while j > i and run < len(tokens) and not shut[run] and inside.fullmatch(tokens[run]):
+                    run += 1
+                if run - i > longest and possible(kind, "".join(tokens[i:run])):
+                    spans.append((i, run, kind))
+    spans.sort(key=lambda s: (s[0], s[1], TYPES.index(s[2])))
+    return [Segment(i, j, kind, tuple(span_features(kind, "".join(tokens[i:j]), tokens[max(0, i - CONTEXT) : i], tokens[j : j + CONTEXT]))) for i, j, kind in spans]
+
+
 def score(segment: Segment, weights: dict[str, float]) -> float:
     return sum(weights.get(x, 0.0) for x in segment.features)
 
@@ -174,16 +237,17 @@ def examples(n: int = 260, seed: int = 11) -> list[tuple[str, list[tuple[str, st
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
 
     def iban() -> str:
-        body = num(18)
-        check = 98 - int(body + "131400") % 97  # of country DE
-        return f"DE{check:02d}{body}"
+        country, size = r.choice([("DE", 18), ("DE", 18), ("MT", 27)])
+        body = num(size)
+        check = 98 - int(body + "".join(str(int(c, 36)) for c in country) + "00") % 97
+        return f"{country}{check:02d}{body}"
 
     def wrong() -> str:
         x = iban()
         return x[:2] + f"{(int(x[2:4]) + 1) % 100:02d}" + x[4:]
 
     phones = [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"0{num(3)} {num(3)} {num(4)}", lambda: f"0{num(2)}/{num(7)[:5]}"]
-    secrets = [lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), lambda: "".join(r.choice("0123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(r.randint(20, 40)))]
+    secrets = [lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), lambda: "".join(r.choice("0123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(r.randint(20, 40))), lambda: "-".join("".join(r.choice("0123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ_") for _ in range(r.randint(4, 20))) + num(1) for _ in range(r.randint(4, 24)))]
     plain = [lambda: f"{num(4)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 28)}/0{r.randint(1, 9)}/20{num(2)}", lambda: f"{num(16)}", lambda: f"version {num(1)}.{num(1)}.{num(2)}", lambda: f"19{num(2)}-20{num(2)}", lambda: f"isbn 978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", lambda: f"{num(3)}.{num(3)}.{num(3)}", lambda: f"{num(2)} {num(3)} {num(3)}", lambda: f"{num(1)}. {word()}{num(2)}", lambda: word() + "-" + word() + "-" + word() + "-" + num(2), lambda: f"page {num(3)}-{num(4)}", wrong, lambda: word() * 6 + num(1)]
     out = []
     for i in range(n):
@@ -201,7 +265,7 @@ def examples(n: int = 260, seed: int = 11) -> list[tuple[str, list[tuple[str, st
                 x = x if r.random() < 0.5 else " ".join(x[k : k + 4] for k in range(0, len(x), 4))
                 cue = r.choice(["iban {}", "{}", "account {}"])
             else:
-                x = r.choice(["{}.{} (at) {}.com", "{}{} [at] {} [dot] org", "{}_{}(at){}.net"]).format(*(r.choice(["anna", "jo", "max", "lee", "kim", "mail7", "inbox"]) for _ in range(3)))
+                x = r.choice(["{}.{} (at) {}.com", "{}{} [at] {} [dot] org", "{}_{}(at){}.net", "{}.{} [at] {} [dot] com", "{}.{} (at) {}.{}.co.uk", "{} [at] {} [dot] {} [dot] org", "{}.{}.{} [at] {} [dot] {} [dot] co [dot] uk"]).format(*(r.choice(["anna", "jo", "max", "lee", "kim", "mail7", "inbox"]) for _ in range(5)))
                 x, cue = x.replace("_", "-"), r.choice(["{}", "mail {}", "write to {}"])
             text = f"{some(r.randint(1, 5))} {cue.format(x)} {some(r.randint(1, 5))}"
             spans.append((kind, x))
@@ -239,11 +303,17 @@ def extra_spans(text: str, blocked: list[tuple[int, int]], weights: dict[str, fl
     """(start, end, kind) of the field's spans in a text, none of which touches a blocked range.
 
     A token in no possible segment is outside in every segmentation, so the best segmentation of a text is that of its
-    islands, stretches around hot places wide enough for the longest segment and its context."""
+    islands, stretches around hot places wide enough for the longest segment there and its context."""
     reach = 160
     islands: list[list[int]] = []
     for m in HOT.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        a, b = m.span()
+        if text[a] in "[(" and _AT.match(text, a):  # an address may be longer than the reach
+            while a > 0 and text[a - 1].isspace():
+                a -= 1
+            a -= min(a, LOCAL)
+            b = whole.end() if (whole := _NAME.match(text, b)) else b
+        a, b = max(0, a - reach), min(len(text), b + reach)
         if islands and a <= islands[-1][1]:
             islands[-1][1] = b
         else:
