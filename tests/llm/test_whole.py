@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from webloom.llm import pii, semicrf
+from webloom.llm import pii, semicrf, simhash_golay
 
 LONG = [
     ("written_email", "first.last [at] example [dot] com"),
@@ -47,3 +47,33 @@ def test_blocked_tokens_are_in_no_segment():
 def test_hot_places_hold_all_phones():
     text = "tel (12) (345) (67)"
     assert semicrf.possible("local_phone", text[4:]) and re.search(semicrf.HOT, text)
+
+
+def _nameless():
+    near = " ".join(f"w{j}" for j in range(400))
+    off = lambda t: (simhash_golay.fingerprint(near.encode()) ^ simhash_golay.fingerprint(t.encode())).bit_count()
+    near = [near, next(t for n in range(1, 60) if 0 < off(t := near + " x" * n) <= 4)]
+    far = [" ".join(f"{c}{j}" for j in range(60)) for c in "abcd"]
+    big = 2**53 + 1
+    return near, far, big, [(None, near[0], "p"), (None, near[1], "q"), (None, near[1], "r"), (None, far[0], "s"), (big, far[0], "t"), (big + 2, far[1], "u"), (None, far[2], "v"), (7, far[3], "w"), (7, far[3], "x"), (9, far[3], "y"), (None, None, "z")]
+
+
+def test_null_ids_are_linked_by_text(spark):
+    near, far, big, rows = _nameless()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    fp = lambda t: simhash_golay._signed(simhash_golay.fingerprint((t or "").encode()))
+    least = {far[0]: big, far[1]: big + 2, far[3]: 7}
+    got = [tuple(r) for r in simhash_golay.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted(((i, fp(t), least.get(t)) for i, t, _ in rows), key=str)
+
+
+def test_one_row_of_a_group_without_ids_stays(spark):
+    near, far, big, rows = _nameless()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")  # with a column that has a name of ours
+    got = simhash_golay.one_of_each(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert set(kept) <= set(rows)
+    without = [r for r in kept if r[0] is None]
+    assert len(without) == 3 and sorted(r[2] in "pqr" for r in without) == [False, False, True] and {r[2] for r in without} >= {"v", "z"}
+    assert sorted(r[2] for r in kept if r[0] is not None) == ["t", "u", "w", "x"]

@@ -16,7 +16,9 @@ Equal fingerprints are one class from the start and only classes are compared. A
 is dealt out as pairs of blocks, so that a task holds at most two blocks of a key.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows have equal
-fingerprints; an empty table gives no rows; columns other than the id and the text are not looked at.
+fingerprints; an empty table gives no rows; columns other than the id and the text are not looked at. A null doc_id is
+linked by its text like any other and is no smallest doc_id, so a component_id is null where all ids of a component
+are. In the pipeline one row stays of such a component, and rows without an id that are linked to an id are its copies.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from webloom.llm.common import read, stored
 from webloom.llm.components import components
@@ -225,13 +228,21 @@ def links(classes: DataFrame, p: Params = Params()) -> DataFrame:
     return dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "fp").mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every document, and (fp, root, component_id) of every class. Classes are named by fingerprint, as
+    an id may be null; root is the name of one class of a component."""
+    prints = stored(fingerprints(docs, p), "fingerprints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    found = components(links(classes.select("fp", F.col("fp").alias("node")), p), "a", "b")
+    named = stored(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, stored(named.join(ids, "root").select("fp", "root", "component_id"), "roots")
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id that it can reach by links
-    of at most ``distance`` bits."""
-    prints = stored(fingerprints(docs, p), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    found = components(links(classes, p), "a", "b")
-    roots = stored(classes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "roots")
+    of at most ``distance`` bits, and null where it reaches none."""
+    prints, roots = grouped(docs, p)
     return prints.join(roots, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -240,8 +251,25 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _one_without_id(docs: DataFrame, roots: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row of each component that has no id: rows are aggregated by fingerprint before they meet their component."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fps = pa.array([_signed(fingerprint(x, p)) for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["row", "fp"])
+
+    schema = StructType([StructField("row", docs.schema), StructField("fp", LongType())])
+    rows = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    first = rows.groupBy("fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return first.join(roots.where("component_id is null"), "fp").groupBy("root").agg(F.min_by("row", "fp").alias("row")).select("row.*")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents the one with the smallest doc_id stays; of rows that repeat
-    that doc_id, all stay."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    that doc_id, all stay. Of a group without any doc_id one row stays."""
+    prints, roots = grouped(docs)
+    stay = prints.join(roots, "fp").where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(_one_without_id(docs, roots))
