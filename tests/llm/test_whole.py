@@ -77,3 +77,17 @@ def test_one_row_of_a_group_without_ids_stays(spark):
     without = [r for r in kept if r[0] is None]
     assert len(without) == 3 and sorted(r[2] in "pqr" for r in without) == [False, False, True] and {r[2] for r in without} >= {"v", "z"}
     assert sorted(r[2] for r in kept if r[0] is not None) == ["t", "u", "w", "x"]
+
+
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "é <|endoftext|> 日本 <|endoftext|>", "plain <|endoftext> text", ""])
+def test_added_tokens_are_the_tokenizers(text):
+    """Ids are those of an unmodified tokenizer."""
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from webloom.llm import packing
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.Encoder("", 50).encode(text) == struct.pack(f"<{len(want)}I", *want)

@@ -67,7 +67,8 @@ def model_size(model) -> int:
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes. Byte-pair merges never cross the tokenizer's pre-tokens, so texts are
     cut into those, and the tokenizer's model is asked only for pre-tokens that are not in a bounded table. Texts with
-    code points beyond Latin-1, where Python's character classes differ, go through the whole tokenizer."""
+    code points beyond Latin-1, where Python's character classes differ, and texts that hold the string of an added token
+    go through the whole tokenizer, where such a string is that token."""
 
     # The tokenizer's own pattern, with its letter and number classes written out for Latin-1.
     LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -81,11 +82,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [x.content for x in added.values()]
         self.known = _Known(self.tokenizer.model, cache_words)
+        self.known.four += [i.to_bytes(4, "little") for i in range(len(self.known.four), max(added, default=0) + 1)]
 
     def encode(self, text: str) -> bytes:
-        if self.PLAIN.fullmatch(text):
+        if self.PLAIN.fullmatch(text) and not any(x in text for x in self.added):
             return b"".join(map(self.known.__getitem__, self.SPLIT.findall(text)))
         four = self.known.four
         return b"".join([four[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
