@@ -91,3 +91,17 @@ def test_added_tokens_are_the_tokenizers(text):
 
     want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
     assert packing.Encoder("", 50).encode(text) == struct.pack(f"<{len(want)}I", *want)
+
+
+def test_dictionary_samples_reach_the_end(monkeypatch):
+    import zstandard
+
+    from webloom.llm import warc
+
+    p, seen = warc.Params(), []
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, taken, **_: seen.extend(taken))
+    records = [i.to_bytes(4, "little") + bytes(10_000) for i in range(3200)]
+    warc._dictionary(records, p)
+    places = [int.from_bytes(x[:4], "little") for x in seen]
+    assert places[-1] > 3100 and max(b - a for a, b in zip(places, places[1:], strict=False)) < 20
+    assert p.sample_bytes // 2 < sum(map(len, seen)) <= p.sample_bytes

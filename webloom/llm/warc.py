@@ -79,13 +79,13 @@ def _dictionary(records: list[bytes], p: Params):
     """A dictionary of records spread evenly over the archive, or None where they are too few to train on."""
     import zstandard
 
-    step, taken, total = max(1, len(records) // 2000), [], 0
-    for x in records[::step]:
-        piece = x[: 64 << 10]
-        if total + len(piece) > p.sample_bytes:
-            break
-        taken.append(piece)
-        total += len(piece)
+    pieces = [x[: 64 << 10] for x in records]
+    step = max(1, len(records) // 2000, -(-sum(map(len, pieces)) // p.sample_bytes))
+    taken, total = [], 0
+    for x in pieces[::step]:
+        if total + len(x) <= p.sample_bytes:
+            taken.append(x)
+            total += len(x)
     if len(taken) < 16:
         return None
     try:
