@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from webloom.functions import html
+from webloom.operators import search
 from webloom.plans import catalog
 
 
@@ -27,3 +28,15 @@ def test_page_extract_agrees_on_every_page(spark, folder):
     assert got == want and any("&" in t for t, _ in want.values())
     parsed = html.with_parsed(catalog.read(spark, d, "pages"), "html").select("page_id", "parsed.title").collect()
     assert {r["page_id"]: r["title"] or "" for r in parsed} == {k: entities.unescape(t) for k, (t, _) in want.items()}
+
+
+def test_approximate_search_recall(spark, data):
+    """Recall of the approximate top 10 against the exact one, over the rows whose id is divisible by 100 as queries."""
+    points = catalog.read(spark, data, "embeddings").cache()
+    hits = wanted = 0
+    for q in points.where("vec_id % 100 = 0").collect():
+        vector = [float(x) for x in q["embedding"]]
+        want = {r["vec_id"] for r in search.top_k(points, vector, 10, "embedding", "vec_id").collect()}
+        hits += len(want & {r["vec_id"] for r in search.approximate_top_k(points, vector, 10, "embedding", "vec_id").collect()})
+        wanted += len(want)
+    assert wanted and hits / wanted >= 0.9, (hits, wanted)
