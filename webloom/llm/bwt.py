@@ -8,6 +8,9 @@ the interleave is refined symbol by symbol: a stable pass puts the suffixes of a
 symbol, blocks part where it differs, and blocks that hold a single suffix, or suffixes of one shard only, are settled
 and left alone, because a shard's own order and common prefixes are known. The depth at which neighbours part is their
 common prefix, and blocks that never part are the repeated intervals.
+
+The next symbol of a suffix is read from its own symbols, so this is a most-significant-digit merge of sorted suffixes:
+the Burrows-Wheeler symbols are carried, and no step reads them.
 """
 
 from __future__ import annotations
