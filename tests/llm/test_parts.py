@@ -54,29 +54,63 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab", min_size=8, max_size=40), min_size=1, max_size=8), st.integers(8, 200))
-def test_bwt_merge(texts, shard_bytes):
-    contexts = [t.encode() for t in texts]
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=4, max_size=40), st.integers(0, 40)), min_size=1, max_size=8), st.integers(8, 200))
+def test_bwt_merge(drawn, shard_bytes):
+    """Of two lengths at once, which starts are repeated among the starts asked for."""
+    contexts = [t.encode() for t, _ in drawn]
+    counts = [min(k, len(t) - 3) for t, k in drawn]
     n = {}
-    for c in contexts:
-        for i in range(len(c) - 7):
-            n[c[i : i + 8]] = n.get(c[i : i + 8], 0) + 1
-    got = bwt.repeated_starts(contexts, 8, 2, shard_bytes)
-    assert [g.tolist() for g in got] == [[n[c[i : i + 8]] > 1 for i in range(len(c) - 7)] for c in contexts]
+    for c, m in zip(contexts, counts, strict=True):
+        for i in range(m):
+            for size in (4, 8):
+                if i + size <= len(c):
+                    n[c[i : i + size]] = n.get(c[i : i + size], 0) + 1
+    got = bwt.repeated_starts(contexts, counts, (4, 8), 2, shard_bytes)
+    assert [g.tolist() for g in got] == [[[n.get(c[i : i + size], 0) > 1 if i + size <= len(c) else False for i in range(m)] for size in (4, 8)] for c, m in zip(contexts, counts, strict=True)]
+
+
+def _transforms(texts, step, depth, n_shards):
+    """Shards of whole strings, and the text ahead of each place, in symbols up to the depth or the end mark."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    offsets, full, previous = bwt.strings(sizes, step)
+    known = sorted({t[i : i + step] for t in texts for i in range(len(t) - step + 1)})
+    symbols = np.zeros(int(offsets[-1]), dtype=np.int32)
+    ahead = []
+    for t, at in zip(texts, offsets, strict=False):
+        for i in range(len(t) + 1):
+            chain = [known.index(t[j : j + step]) + 1 for j in range(i, len(t) - step + 1, step)][:depth]
+            symbols[at + i] = chain[0] if chain else 0
+            ahead.append(chain)
+    assert full.tolist() == [len(x) > 0 for x in ahead]
+    cut = [len(texts) * k // n_shards for k in range(n_shards + 1)]
+    return [bwt.shard(symbols, previous, int(offsets[a]), int(offsets[b]), depth) for a, b in zip(cut, cut[1:], strict=False)], ahead, symbols, previous
+
+
+def test_bwt_is_the_symbol_before():
+    (one,), ahead, symbols, previous = _transforms([b"abcdefabcxyzabcdefabcdzz" * 2], 3, 4, 1)
+    order = [ahead[i] for i in one.places]
+    whole = [x for x in order if len(x) == 4]
+    assert sorted(one.places.tolist()) == list(range(len(ahead))) and whole == sorted(whole)
+    assert one.before.tolist() == symbols[previous[one.places]].tolist()
 
 
 def test_bwt_common_prefixes():
-    data = np.frombuffer(b"abcdefabcxyzabcdefabcdzz" * 3, dtype=np.uint8)
-    starts = np.arange(0, len(data) - 12)
-    one = bwt.shard(data, starts, starts, 3, 4)
-    half = [bwt.shard(data, starts[k::3], starts[k::3], 3, 4) for k in range(3)]
-    merged = bwt.merge(half, 4)
-    assert merged.common.tolist() == one.common.tolist()
-    assert sorted(merged.ids.tolist()) == starts.tolist()
-    grams = {int(i): data[i : i + 12].tobytes() for i in starts}
-    for first, end in merged.repeated():
-        assert len({grams[int(i)] for i in merged.ids[first:end]}) == 1
+    """The merge of three transforms is the transform of all: order, common prefixes and intervals."""
+    texts = [b"abcdefabcxyzabcdefabcdzz", b"abcdefabcdzzabcabc", b"zzabcdefabcxyz", b"abcdefabcxyzabcdefabcdzy", b"xyzxyzxyzxyz", b"q"]
+    shards, ahead, _, _ = _transforms(texts, 3, 4, 3)
+    merged = bwt.merge(shards, 4)
+    assert sorted(merged.places.tolist()) == list(range(len(ahead)))
+    order = [ahead[i] for i in merged.places]
+    for depth in (1, 2, 3, 4):
+        prefixes = [tuple(x[:depth]) for x in order]
+        assert [x for x in prefixes if len(x) == depth] == sorted(x for x in prefixes if len(x) == depth)
+        intervals = merged.repeated(depth)
+        inside = {i for a, b in intervals for i in range(a, b)}
+        counts = {x: prefixes.count(x) for x in prefixes}
+        assert all((i in inside) == (counts[x] > 1) for i, x in enumerate(prefixes) if len(x) == depth)
+        assert all(len(set(prefixes[a:b])) == 1 for a, b in intervals if len(prefixes[a]) == depth)
+    assert len(bwt.merge([], 4).places) == 0
 
 
 @settings(max_examples=60, deadline=None)

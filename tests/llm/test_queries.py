@@ -68,29 +68,69 @@ def test_op2(spark, folder, rows):
     assert any("secret:" in g["spans"] for g in got)
 
 
-def _removed(texts, length=400):
+def _covered(texts, length):
     n = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:
         cover = bytearray(len(t))
         for i in range(len(t) - length + 1):
             if n[t[i : i + length]] > 1:
                 cover[i : i + length] = b"\1" * length
+        yield cover
+
+
+def _removed(texts, length=400, passage=240):
+    for t, cover, shared in zip(texts, _covered(texts, length), _covered(texts, passage), strict=True):
         kept = bytes(c for c, m in zip(t, cover, strict=True) if not m)
-        yield len(t), sum(cover), sum(bool(cover[i]) and (i == 0 or not cover[i - 1]) for i in range(len(t))), hashlib.sha256(kept).hexdigest()
+        yield len(t), sum(cover), sum(bool(cover[i]) and (i == 0 or not cover[i - 1]) for i in range(len(t))), hashlib.sha256(kept).hexdigest(), sum(shared)
 
 
 def test_op3(spark, folder, rows):
     got = run(spark, "op3_suffix_dedup", folder)
     texts = [(r[1] or "").encode() for r in rows]
     same([tuple(g.values()) for g in got], [(r[0], *x) for r, x in zip(rows, _removed(texts), strict=True)])
-    assert any(0 < g["n_removed"] < g["n_bytes"] for g in got)
+    assert any(0 < g["n_removed"] < g["n_bytes"] for g in got) and any(0 == g["n_removed"] < g["n_shared"] for g in got)
+
+
+def _near_copies(n):
+    """Texts that share a passage of 330 bytes and lines about it, each with an edit of its own, and some with none."""
+    import random
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(150)]
+    out = []
+    for i in range(n):
+        w = list(common)
+        if i % 5:
+            w[r.randrange(150)] = word()
+        out.append(" ".join([*(word() for _ in range(i % 7)), *w, *(word() for _ in range(20))]))
+    return out
 
 
-def test_op3_common_anchors_are_counted(spark, docs, rows):
+@pytest.mark.parametrize("group", [1, 4, 512])
+def test_op3_common_anchors_go_in_blocks(spark, docs, rows, group):
+    """Anchors, cores and windows with more different members than may meet."""
     from webloom.llm.suffix_dedup import Params, without_repeats
 
-    got = without_repeats(docs, Params(group=1)).drop("kept").collect()
-    same([tuple(g) for g in got], [(r[0], *x) for r, x in zip(rows, _removed([(r[1] or "").encode() for r in rows]), strict=True)])
+    more = [(1000 + i, t) for i, t in enumerate(_near_copies(40))]
+    every = [(r[0], r[1]) for r in rows] + more
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = without_repeats(table, Params(group=group, merge_bytes=4096, shard_bytes=1024)).drop("kept").collect()
+    same([tuple(g) for g in got], [(i, *x) for (i, _), x in zip(every, _removed([(t or "").encode() for _, t in every]), strict=True)])
+
+
+def test_op3_one_row_many_times(spark):
+    """A row that is repeated 10,000 times, beside near copies of it and a row without an id: as copies of one another."""
+    from pyspark.sql import functions as F
+
+    from webloom.llm.suffix_dedup import without_repeats
+
+    text = "".join(f"{i * i:05d} word " for i in range(80))
+    rows = [(1, text)] * 10_000 + [(2, text[:300] + "x" + text[300:]), (None, text[:500]), (None, "short"), (4, None)]
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).drop("kept").groupBy(*(f.split()[0] for f in "doc_id n_bytes n_removed n_spans kept_sha256 n_shared".split())).agg(F.count("*").alias("n")).collect()
+    want = collections.Counter((r[0], *x) for r, x in zip([rows[0], rows[0], *rows[10_000:]], _removed([(r[1] or "").encode() for r in [rows[0], rows[0], *rows[10_000:]]]), strict=True))
+    want[next(k for k in want if k[0] == 1)] = 10_000
+    assert {tuple(g)[:-1]: g["n"] for g in got} == want
 
 
 def test_op4(spark, folder, rows):

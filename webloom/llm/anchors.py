@@ -1,16 +1,15 @@
 """Anchors of byte strings: a lossless filter for repeated windows.
 
 Every window of ``length`` bytes has an anchor, the k-gram of least hash in it, of equals the rightmost. Windows of equal
-bytes have equal anchors at equal places, so a window whose anchor hash occurs once in the corpus is not repeated. One
-anchor serves a run of consecutive windows; the run's context is all bytes from its first window's start to its last
-window's end.
+bytes have equal anchors at equal places, so a window whose anchor hash occurs once in the corpus is not repeated, and
+neither is any longer string that begins with it. One anchor serves a run of consecutive windows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-GRAM = 128
+GRAM = 64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 _CHUNK = 1 << 20
@@ -22,6 +21,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mixed(hashes: np.ndarray, at: np.ndarray, key: int) -> np.ndarray:
+    """Hashes with a place and a key of 64 bits mixed in, as signed numbers."""
+    seed = _mix(np.array([key], dtype=np.int64).view(np.uint64)) + at.astype(np.int64).view(np.uint64) * np.uint64(_MULTIPLIER)
+    return _mix(hashes ^ seed).view(np.int64)
+
+
 _OCTETS = [_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (_MULTIPLIER, _SECOND)]
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -63,28 +68,32 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(text: bytes, length: int, k: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(hash, place, first, last, context hashes 1 and 2) of each anchor: it serves the windows that start at first to
-    last. Long texts go chunk by chunk, and a run that a chunk border cuts becomes two."""
-    n = len(text)
-    if n < length:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+def anchors(text: bytes, length: int, reach: int, k: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(hash, place, first, last, end, context hashes 1 and 2) of each anchor: it serves the windows of ``length`` bytes
+    that start at first to last. Its context is all bytes from first to end, ``reach`` bytes after last if the text has
+    them. Long texts go chunk by chunk, and a run that a chunk border cuts becomes two."""
+    windows = len(text) - length + 1
+    if windows <= _CHUNK:
+        return _anchors(text, max(0, windows), length, reach, k)
+    parts = []
+    for at in range(0, windows, _CHUNK):
+        h, place, first, last, end, c1, c2 = _anchors(text[at : at + _CHUNK + reach - 1], min(_CHUNK, windows - at), length, reach, k)
+        parts.append((h, place + at, first + at, last + at, end + at, c1, c2))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(text: bytes, windows: int, length: int, reach: int, k: int) -> tuple[np.ndarray, ...]:
+    if not windows:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(7))
     data = np.frombuffer(text, dtype=np.uint8)
-    if n > _CHUNK + length:
-        parts = []
-        for at in range(0, n - length + 1, _CHUNK):
-            end = min(n, at + _CHUNK + length - 1)
-            h, place, first, last, c1, c2 = anchors(text[at:end], length, k)
-            parts.append((h, place + at, first + at, last + at, c1, c2))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     one, two = Prefixes(data, 0), Prefixes(data, 1)
-    grams = one.grams(k)
+    grams = one.grams(k)[: windows + length - k]
     # Hash above, complement of the place below: the least key is the rightmost of least hash. Places fit in 24 bits.
     keys = (grams & ~np.uint64((1 << 24) - 1)) | (np.uint64((1 << 24) - 1) - np.arange(len(grams), dtype=np.uint64))
     place = ((1 << 24) - 1) - (_least(keys, length - k + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
     cut = np.flatnonzero(place[1:] != place[:-1]) + 1
     first = np.concatenate([[0], cut])
     last = np.concatenate([cut, [len(place)]]) - 1
+    end = np.minimum(last + reach, len(text))
     at = place[first]
-    end = last + length
-    return grams[at].view(np.int64), at, first, last, one(first, end).view(np.int64), two(first, end).view(np.int64)
+    return grams[at].view(np.int64), at, first, last, end, one(first, end).view(np.int64), two(first, end).view(np.int64)

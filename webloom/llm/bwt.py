@@ -1,16 +1,16 @@
 """Burrows-Wheeler transforms of shards of byte strings, merged by iterative interleave refinement.
 
-A string is read as a sequence of super-symbols, stretches of ``step`` bytes ordered by their 64-bit hashes; a suffix
-that starts at byte i goes on at i + step, i + 2 step, ..., and its Burrows-Wheeler symbol is the stretch before i. Order
-among different symbols does not matter for repeats, only that it is total, so hashes serve as ranks. Each shard sorts
-its own suffixes by their first ``depth`` symbols. To merge shards, their sorted suffixes are laid one after another and
-the interleave is refined symbol by symbol: a stable pass puts the suffixes of a block in the order of their next
-symbol, blocks part where it differs, and blocks that hold a single suffix, or suffixes of one shard only, are settled
-and left alone, because a shard's own order and common prefixes are known. The depth at which neighbours part is their
-common prefix, and blocks that never part are the repeated intervals.
-
-The next symbol of a suffix is read from its own symbols, so this is a most-significant-digit merge of sorted suffixes:
-the Burrows-Wheeler symbols are carried, and no step reads them.
+A string is read in super-symbols, stretches of ``step`` bytes; the suffix at byte i goes on at i + step, i + 2 step, and
+so on, so a string makes ``step`` chains, each closed by an end mark. The Burrows-Wheeler symbol of a suffix is the
+stretch before it, or the end mark at the start of a chain. Symbols are ranks of the stretches' 64-bit hashes: order among
+different symbols does not matter for repeats, only that it is total.
+
+A shard's transform lists the symbols before its suffixes, in the order of the suffixes' first ``depth`` symbols. `merge`
+reads nothing but those transforms. The interleave, a vector that says for each place of the merged order which shard's
+next suffix stands there, starts as one shard after another. A round walks it, takes from each shard the next symbol of
+its transform, and puts the shard's number in the bucket of that symbol, stably (a counting pass); so after h rounds the
+interleave is in the order of the first h symbols. Where neighbours part for the first time in round h + 1 their common
+prefix is h symbols. Suffixes are never compared or sorted again.
 """
 
 from __future__ import annotations
@@ -24,117 +24,133 @@ from webloom.llm.anchors import Prefixes
 
 @dataclass
 class Shard:
-    """Sorted suffixes of a shard: their symbols (row by row), the symbol before each, and the common prefix, in
-    symbols, of each with the one above it. ``ids`` says which of the caller's suffixes each is."""
+    """``before``: the transform, the rank of the symbol before each suffix (0: end mark). ``places``: the caller's
+    places of the suffixes, in the same order."""
 
-    ids: np.ndarray
-    symbols: np.ndarray
     before: np.ndarray
-    common: np.ndarray
+    places: np.ndarray
 
 
 @dataclass
 class Merged:
-    shard: np.ndarray  # the interleave: the shard of each suffix in merged order
-    ids: np.ndarray
-    before: np.ndarray
-    common: np.ndarray
-    depth: int
-
-    def repeated(self) -> np.ndarray:
-        """(first, end) of the intervals of two or more suffixes that share all ``depth`` symbols."""
-        edges = np.flatnonzero(np.concatenate([self.common < self.depth, [True]]))
-        first, end = edges[:-1], edges[1:]
-        more = end - first > 1
-        return np.stack([first[more], end[more]], axis=1)
-
-
-def _common(symbols: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(symbols), dtype=np.int64)
-    if len(symbols) > 1:
-        differ = symbols[1:] != symbols[:-1]
-        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), symbols.shape[1])
-    return out
-
-
-def shard(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, step: int, depth: int) -> Shard:
-    """Transform of the suffixes at ``starts``, each of which has depth * step bytes ahead of it."""
-    at = starts[:, None] + step * np.arange(depth)[None, :]
-    hashed = Prefixes(data, 0)
-    symbols = hashed(at, at + step)
-    order = np.lexsort(symbols.T[::-1])
-    symbols = symbols[order]
-    back = np.maximum(starts - step, 0)
-    before = np.where(starts >= step, hashed(back, back + step), np.uint64(0))
-    return Shard(ids[order], symbols, before[order], _common(symbols))
+    places: np.ndarray
+    common: np.ndarray  # symbols that a suffix shares with the one above it, up to the depth
+
+    def repeated(self, depth: int) -> np.ndarray:
+        """(first, end) of the intervals of two or more suffixes that share ``depth`` symbols."""
+        edges = np.flatnonzero(np.concatenate([self.common < depth, [True]]))
+        more = edges[1:] - edges[:-1] > 1
+        return np.stack([edges[:-1][more], edges[1:][more]], axis=1)
+
+
+def _by(keys: np.ndarray) -> np.ndarray:
+    """Order by small keys, stable: counting passes of 16 bits."""
+    if keys.itemsize <= 2:
+        return np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    if len(keys) and int(keys.max()) >> 16:
+        order = order[np.argsort((keys >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
+def strings(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For strings of ``sizes`` bytes laid one after another, each with a place for its end: the offsets of the strings,
+    whether a place has a whole symbol ahead, and the place before each on its chain (of the first: the last)."""
+    offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
+    place = np.arange(int(offsets[-1]), dtype=np.int32)
+    at = place - np.repeat(offsets[:-1].astype(np.int32), sizes + 1)
+    ahead = np.repeat(sizes.astype(np.int32), sizes + 1) - at
+    previous = place - step
+    start = np.flatnonzero(at < step)
+    previous[start] = place[start] + step * (ahead[start] // step)
+    return offsets, ahead >= step, previous
+
+
+def shard(symbols: np.ndarray, previous: np.ndarray, first: int, end: int, depth: int) -> Shard:
+    """Transform of the strings at the places from ``first`` to ``end``: as many counting passes as the depth, each by
+    the symbol before."""
+    before = previous[first:end] - first
+    ranks = symbols[first:end]
+    order = np.arange(end - first, dtype=np.int32)
+    for _ in range(depth):
+        order = before[order]
+        order = order[_by(ranks[order])]
+    return Shard(ranks[before[order]], order + first)
 
 
 def merge(shards: list[Shard], depth: int) -> Merged:
-    """One transform of all shards' suffixes, by refinement of their interleave."""
-    sizes = [len(s.ids) for s in shards]
+    """One order of all shards' suffixes, from their transforms alone."""
+    sizes = [len(s.before) for s in shards]
     n = sum(sizes)
-    which = np.repeat(np.arange(len(shards)), sizes)
-    symbols = np.concatenate([s.symbols for s in shards]) if n else np.zeros((0, depth), dtype=np.uint64)
-    order, common = np.arange(n), np.full(n, depth, dtype=np.int64)
-    if n:
-        common[0] = 0
-    active = np.arange(n)  # places in the order whose blocks are not settled, block after block
-    block = np.zeros(n, dtype=np.int64)
-    inside = np.concatenate([s.common for s in shards]) if n else np.zeros(0, dtype=np.int64)
-    for k in range(depth):
-        if not len(active):
-            break
-        rows = order[active]
-        key = symbols[rows, k]
-        passed = np.lexsort((key, block))  # stable: within a symbol, the earlier shard first and each in its order
-        order[active] = rows[passed]
-        key, own = key[passed], which[order[active]]
-        start = np.ones(len(active), dtype=bool)
-        start[1:] = (block[1:] != block[:-1]) | (key[1:] != key[:-1])
-        common[active[start & (common[active] == depth)]] = k
-        block = np.cumsum(start) - 1
-        first = np.flatnonzero(start)
-        low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
-        settled = (low == high)[block]
-        # In a settled block neighbours are neighbours in their shard, which knows their common prefix.
-        done = settled & ~start
-        common[active[done]] = np.minimum(depth, inside[order[active[done]]])
-        active, block = active[~settled], block[~settled]
-    ids = np.concatenate([s.ids for s in shards]) if n else np.zeros(0, dtype=np.int64)
-    before = np.concatenate([s.before for s in shards]) if n else np.zeros(0, dtype=np.uint64)
-    return Merged(which[order], ids[order], before[order], common, depth)
-
-
-def repeated_starts(contexts: list[bytes], length: int, step: int, shard_bytes: int) -> list[np.ndarray]:
-    """For each context, which of its windows of ``length`` bytes, by start, occur more than once among all contexts'
-    windows. Contexts are dealt in turn to shards of about ``shard_bytes``; equal super-symbols are equal hashes, so
-    repeats are confirmed by a second hash over the whole window."""
-    depth = length // step
-    if depth * step != length:
-        raise ValueError("step has to divide length")
-    counts = np.array([len(c) - length + 1 for c in contexts], dtype=np.int64)
-    offsets = np.concatenate([[0], np.cumsum(counts)])
-    n_shards = max(2, -(-sum(map(len, contexts)) // shard_bytes))
-    shards, proof = [], np.zeros(int(offsets[-1]), dtype=np.uint64)
+    if not n:
+        return Merged(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32))
+    transforms = np.concatenate([s.before for s in shards])
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) <= 256 else np.int32), sizes)
+    common = np.full(n, depth, dtype=np.int32)
+    common[0] = 0
+    block = np.zeros(n, dtype=np.int32)
+    symbol = np.empty(n, dtype=np.int32)
+    for h in range(depth):
+        symbol[_by(interleave)] = transforms  # each shard's next symbol, wherever the interleave names the shard
+        order = _by(symbol)
+        interleave, sorted_symbol, block = interleave[order], symbol[order], block[order]
+        part = np.zeros(n, dtype=bool)
+        part[1:] = (sorted_symbol[1:] != sorted_symbol[:-1]) | (block[1:] != block[:-1])
+        common[part & (common == depth)] = h
+        block = np.cumsum(part, dtype=np.int32)
+    places = np.empty(n, dtype=np.int32)
+    places[_by(interleave)] = np.concatenate([s.places for s in shards])
+    return Merged(places, common)
+
+
+def repeated_starts(contexts: list[bytes], counts: list[int], lengths: tuple[int, ...], step: int, shard_bytes: int) -> list[np.ndarray]:
+    """For each length, in a row of flags for each context: which of the context's first ``counts`` starts begin a
+    string of that length that another of these starts begins, too. Strings that reach beyond their context are not
+    looked at. Contexts are dealt in turn to shards of about ``shard_bytes``.
+
+    A context without a run of symbols that occur twice, long enough for the least length, has no repeats and takes
+    no part."""
+    if any(length % step for length in lengths):
+        raise ValueError("step has to divide the lengths")
+    depth, least = max(lengths) // step, min(lengths) // step
+    out = [np.zeros((len(lengths), n), dtype=bool) for n in counts]
+    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+    offsets, whole, _ = strings(sizes, step)
+    data = np.frombuffer(b"\0".join([*contexts, b""]), dtype=np.uint8)
+    hashed = np.zeros(len(data), dtype=np.uint64)
+    hashed[: max(0, len(data) - step + 1)] = Prefixes(data, 0).grams(step) if len(data) >= step else 0
+    seen = np.bincount((hashed[whole] >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+    often = whole & (seen[(hashed >> np.uint64(44)).astype(np.int64)] > 1)
+    hope = often.copy()
+    for k in range(1, least):
+        hope[: len(hope) - k * step] &= often[k * step :]
+        hope[max(0, len(hope) - k * step) :] = False
+    total = np.concatenate([[0], np.cumsum(hope)])
+    live = [i for i in range(len(contexts)) if total[offsets[i] + counts[i]] > total[offsets[i]]]
+    if not live:
+        return out
+    n_shards = max(1, min(len(live), -(-int(sizes[live].sum()) // shard_bytes)))
+    dealt = [i for s in range(n_shards) for i in live[s::n_shards]]
+    pieces = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in dealt])
+    offsets, whole, previous = strings(sizes[dealt], step)
+    symbols = np.zeros(len(pieces), dtype=np.int32)
+    symbols[whole] = np.unique(hashed[pieces[whole]], return_inverse=True)[1] + 1
+    shards, at = [], 0
     for s in range(n_shards):
-        mine = range(s, len(contexts), n_shards)
-        if not len(mine):
-            continue
-        data = np.frombuffer(b"".join([contexts[i] for i in mine]), dtype=np.uint8)
-        at, starts, ids = 0, [], []
-        for i in mine:
-            starts.append(np.arange(at, at + counts[i]))
-            ids.append(np.arange(offsets[i], offsets[i + 1]))
-            at += len(contexts[i])
-        start, own = np.concatenate(starts), np.concatenate(ids)
-        proof[own] = Prefixes(data, 1)(start, start + length)
-        shards.append(shard(data, start, own, step, depth))
+        end = at + len(live[s::n_shards])
+        shards.append(shard(symbols, previous, int(offsets[at]), int(offsets[end]), depth))
+        at = end
     merged = merge(shards, depth)
-    same = np.zeros(len(merged.ids), dtype=bool)
-    found = proof[merged.ids]
-    equal = (merged.common[1:] == depth) & (found[1:] == found[:-1])
-    same[1:] |= equal
-    same[:-1] |= equal
-    out = np.zeros(int(offsets[-1]), dtype=bool)
-    out[merged.ids] = same
-    return [out[offsets[i] : offsets[i + 1]] for i in range(len(contexts))]
+    starts = np.zeros(len(pieces), dtype=bool)
+    for j, i in enumerate(dealt):
+        starts[offsets[j] : offsets[j] + counts[i]] = True
+    asked = starts[merged.places]
+    for k, length in enumerate(lengths):
+        block = np.cumsum(merged.common < length // step)
+        twice = np.zeros(len(pieces), dtype=bool)
+        twice[merged.places] = (np.bincount(block[asked], minlength=len(pieces) + 1) > 1)[block]
+        for j, i in enumerate(dealt):
+            n = min(counts[i], len(contexts[i]) - length + 1)
+            if n > 0:
+                out[i][k, :n] = twice[offsets[j] : offsets[j] + n]
+    return out
