@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-GRAM = 64
+GRAM = 128
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 _CHUNK = 1 << 20

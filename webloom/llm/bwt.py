@@ -108,31 +108,40 @@ def repeated_starts(contexts: list[bytes], counts: list[int], lengths: tuple[int
     string of that length that another of these starts begins, too. Strings that reach beyond their context are not
     looked at. Contexts are dealt in turn to shards of about ``shard_bytes``.
 
-    A context without a run of symbols that occur twice, long enough for the least length, has no repeats and takes
-    no part."""
+    A string that holds a symbol which occurs once is not repeated. So of each context only the starts that have enough
+    symbols ahead which occur twice take part, with the bytes that such symbols cover."""
     if any(length % step for length in lengths):
         raise ValueError("step has to divide the lengths")
     depth, least = max(lengths) // step, min(lengths) // step
     out = [np.zeros((len(lengths), n), dtype=bool) for n in counts]
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     offsets, whole, _ = strings(sizes, step)
+    begins = offsets.tolist()
     data = np.frombuffer(b"\0".join([*contexts, b""]), dtype=np.uint8)
     hashed = np.zeros(len(data), dtype=np.uint64)
     hashed[: max(0, len(data) - step + 1)] = Prefixes(data, 0).grams(step) if len(data) >= step else 0
     seen = np.bincount((hashed[whole] >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
     often = whole & (seen[(hashed >> np.uint64(44)).astype(np.int64)] > 1)
-    hope = often.copy()
-    for k in range(1, least):
-        hope[: len(hope) - k * step] &= often[k * step :]
-        hope[max(0, len(hope) - k * step) :] = False
-    total = np.concatenate([[0], np.cumsum(hope)])
-    live = [i for i in range(len(contexts)) if total[offsets[i] + counts[i]] > total[offsets[i]]]
-    if not live:
+    row, ahead = often, often.astype(np.int32)  # symbols ahead that occur twice, in a row
+    for _ in range(1, depth):
+        row = np.concatenate([row[step:], np.zeros(min(step, len(row)), dtype=bool)]) & often
+        ahead += row
+    asked = np.zeros(len(data), dtype=bool)
+    for i, n in enumerate(counts):
+        asked[offsets[i] : offsets[i] + n] = True
+    hope = np.flatnonzero(asked & (ahead >= least))
+    if not len(hope):
         return out
-    n_shards = max(1, min(len(live), -(-int(sizes[live].sum()) // shard_bytes)))
+    owner = np.searchsorted(offsets, hope, side="right") - 1
+    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    live = owner[cut].tolist()
+    first = dict(zip(live, hope[cut].tolist(), strict=True))
+    last = dict(zip(live, hope[np.concatenate([cut[1:], [len(hope)]]) - 1].tolist(), strict=True))
+    until = dict(zip(live, np.maximum.reduceat(hope + step * ahead[hope], cut).tolist(), strict=True))
+    n_shards = max(1, min(len(live), -(-sum(until[i] - first[i] for i in live) // shard_bytes)))
     dealt = [i for s in range(n_shards) for i in live[s::n_shards]]
-    pieces = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in dealt])
-    offsets, whole, previous = strings(sizes[dealt], step)
+    pieces = np.concatenate([np.arange(first[i], until[i] + 1) for i in dealt])
+    offsets, whole, previous = strings(np.array([until[i] - first[i] for i in dealt]), step)
     symbols = np.zeros(len(pieces), dtype=np.int32)
     symbols[whole] = np.unique(hashed[pieces[whole]], return_inverse=True)[1] + 1
     shards, at = [], 0
@@ -141,16 +150,14 @@ def repeated_starts(contexts: list[bytes], counts: list[int], lengths: tuple[int
         shards.append(shard(symbols, previous, int(offsets[at]), int(offsets[end]), depth))
         at = end
     merged = merge(shards, depth)
-    starts = np.zeros(len(pieces), dtype=bool)
-    for j, i in enumerate(dealt):
-        starts[offsets[j] : offsets[j] + counts[i]] = True
-    asked = starts[merged.places]
+    asked = asked[pieces][merged.places]
     for k, length in enumerate(lengths):
         block = np.cumsum(merged.common < length // step)
         twice = np.zeros(len(pieces), dtype=bool)
         twice[merged.places] = (np.bincount(block[asked], minlength=len(pieces) + 1) > 1)[block]
         for j, i in enumerate(dealt):
-            n = min(counts[i], len(contexts[i]) - length + 1)
+            n = min(last[i] - first[i] + 1, until[i] - first[i] - length + 1)
             if n > 0:
-                out[i][k, :n] = twice[offsets[j] : offsets[j] + n]
+                at = first[i] - begins[i]
+                out[i][k, at : at + n] = twice[offsets[j] : offsets[j] + n]
     return out

@@ -27,7 +27,7 @@ for contexts, blocks and windows, one of 64 bits for a symbol among those of a m
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +43,11 @@ PLACE = ["doc_id", "rid", "first"]
 @dataclass(frozen=True)
 class Params:
     length: int = 400
-    passage: int = 240
-    step: int = 80
+    passage: int = 300
+    step: int = 100
     shard_bytes: int = 64 << 10
     merge_bytes: int = 256 << 10
-    group: int = 512
+    group: int = 2048
     block: int = 16
 
 
@@ -246,8 +246,8 @@ def marks(rows: DataFrame, p: Params = Params()) -> DataFrame:
     return equal.unionByName(merged)
 
 
-def removed(data: bytes, found: list[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
-    """Bytes and runs removed, and what is left, where strings that start from first to last are repeated."""
+def covered(found: Iterable[tuple[int, int]], length: int) -> list[list[int]]:
+    """The runs (start, end) of bytes in strings that start from first to last; one that ends before it starts is none."""
     spans: list[list[int]] = []
     for first, last in sorted(found):
         if last < first:
@@ -256,6 +256,12 @@ def removed(data: bytes, found: list[tuple[int, int]], length: int) -> tuple[int
             spans[-1][1] = max(spans[-1][1], last + length)
         else:
             spans.append([first, last + length])
+    return spans
+
+
+def removed(data: bytes, found: Iterable[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
+    """Bytes and runs removed, and what is left, where strings that start from first to last are repeated."""
+    spans = covered(found, length)
     kept, at = [], 0
     for a, b in spans:
         kept.append(data[at:a])
@@ -279,10 +285,17 @@ def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             out: list[tuple] = []
-            for doc_id, data, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                n, spans, kept = removed(data, [(x["first"], x["last_long"]) for x in found or ()], p.length)
-                shared = removed(data, [(x["first"], x["last"]) for x in found or ()], p.passage)[0]
-                out.append((doc_id, len(data), n, spans, hashlib.sha256(kept).hexdigest(), shared, kept))
+            found = batch.column(2)
+            marked = found.flatten()
+            first, last, last_long = (marked.field(i).to_pylist() for i in range(3))
+            n_marks = [n or 0 for n in found.value_lengths().to_pylist()]
+            at = 0
+            for doc_id, data, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), n_marks, strict=True):
+                end = at + m
+                n, spans, kept = removed(data, zip(first[at:end], last_long[at:end], strict=True), p.length) if m else (0, 0, data)
+                shared = covered(zip(first[at:end], last[at:end], strict=True), p.passage) if m else []
+                out.append((doc_id, len(data), n, spans, hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in shared), kept))
+                at = end
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=[*_names(KEPT), "kept"])
 
     return joined.mapInArrow(run, KEPT + ", kept binary")
