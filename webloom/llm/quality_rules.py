@@ -6,9 +6,9 @@ sample of labelled rows, binned and counted by Spark, reach the driver; everythi
 functions.
 
 Defined results: a null or empty text has no words and fails the base rule (fewer than ten words). Repeated rows get
-equal verdicts. Several labels of one document count as its worst. An empty table gives an empty result, and without
-labels the list is empty and only the base rule rejects. Columns of the input other than the id and the text are not
-looked at, so their names cannot clash.
+equal verdicts; of labelled rows that share an id, the one of least text is learned from. Several labels of one document
+count as its worst. An empty table gives an empty result, and without labels the list is empty and only the base rule
+rejects. Columns of the input other than the id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,7 +111,8 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Rules:
     a third prunes them), so the driver holds at most ``max_labelled`` counts."""
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)  # bounds what is broadcast
-    rows = statistics(docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality"), keep=["doc_id", "quality"])
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = statistics(met, keep=["doc_id", "quality"])
     rows = rows.where(~base_failed()).select("quality", (F.pmod(F.xxhash64("doc_id", F.lit("side")), F.lit(3)) == 0).alias("prune"), *(F.round(feature(f), 6).alias(f) for f in FEATURES)).cache()
     quantiles = [i / p.thresholds for i in range(1, p.thresholds)]
     marks = rows.agg(*(F.percentile_approx(F.when(F.col("quality") == 0, F.col(f)), quantiles, 1000).alias(f"{f}_0") for f in FEATURES), *(F.percentile_approx(f, quantiles, 1000).alias(f) for f in FEATURES)).first()
