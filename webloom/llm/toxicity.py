@@ -6,8 +6,10 @@ three parts: one gives the learned lexicon, one the trees, one the calibration.
 bounded by ``max_labelled``; every text is scored whole.
 
 Defined results: a null or empty text has zero features and gets the score that belongs to them. Repeated rows get
-equal scores. Of several labels of a document the highest counts. Without labels, every score is that of no evidence.
-An empty table gives no rows. Columns other than the id and the text are not looked at.
+equal scores; of labelled rows that share an id, the one of least text is learned from, so that no more than
+``max_labelled`` rows reach the driver. Of several labels of a document the highest counts. Without labels, every score
+is that of no evidence. An empty table gives no rows. Columns other than the id and the text are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -92,7 +94,8 @@ def labelled(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     """At most ``max_labelled`` training documents of least hash, with a part from 0 to 4."""
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = one.where(~held_out(F.col("doc_id"), p.folds)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
-    return docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part"))
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return met.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int").alias("part"))
 
 
 def lexicon(rows: DataFrame, p: Params) -> dict[bytes, float]:
