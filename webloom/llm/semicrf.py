@@ -28,8 +28,11 @@ _MAYBE = {
     "account": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"),
     "secret": re.compile(r"[A-Za-z0-9_-]{16,}"),
 }
-#: What an island has to hold for any segment to be possible: six digits in reach, a bracketed at, or a long mixed word.
-HOT = re.compile(r"(?:[0-9][ ().\-/]{0,4}){6}|[\[(]\s*(?:at|AT|@)\s*[\])]|\b(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{16,}|(?<![^\W_])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
+#: What an island has to hold for any segment to be possible: six digits in reach, a bracketed at, the beginning of an
+#: account, or a long run of a secret's characters with a digit. A run is read once, as a whole.
+HOT = re.compile(r"(?:[0-9][ ().\-/]{0,4}){6}|[\[(]\s*(?:at|AT|@)\s*[\])]|(?<![^\W_])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
+_RUN = re.compile(r"[A-Za-z0-9_-]{16,}+")
+_DIGIT = re.compile(r"[0-9]")
 _AT = re.compile(r"[\[(]\s*(?:at|AT|@)\s*[\])]")
 _DOT = re.compile(r"[\[(]\s*(?:dot|DOT|\.)\s*[\])]")
 _MORE = re.compile(r"\s*[\[(]\s*(?:dot|DOT|\.)\s*[\])]|\.?[A-Za-z0-9-]")
@@ -306,8 +309,8 @@ def extra_spans(text: str, blocked: list[tuple[int, int]], weights: dict[str, fl
     islands, stretches around hot places wide enough for the longest segment there and its context."""
     reach = 160
     islands: list[list[int]] = []
-    for m in HOT.finditer(text):
-        a, b = m.span()
+    hot = [m.span() for m in HOT.finditer(text)] + [m.span() for m in _RUN.finditer(text) if _DIGIT.search(text, *m.span())]
+    for a, b in sorted(hot):
         if text[a] in "[(" and _AT.match(text, a):  # an address may be longer than the reach
             while a > 0 and text[a - 1].isspace():
                 a -= 1
@@ -315,7 +318,7 @@ def extra_spans(text: str, blocked: list[tuple[int, int]], weights: dict[str, fl
             b = whole.end() if (whole := _NAME.match(text, b)) else b
         a, b = max(0, a - reach), min(len(text), b + reach)
         if islands and a <= islands[-1][1]:
-            islands[-1][1] = b
+            islands[-1][1] = max(b, islands[-1][1])
         else:
             islands.append([a, b])
     out, k = [], 0
