@@ -1,12 +1,14 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Texts become token ids once, in the tasks that read them; only the pieces' lengths and checksums travel on. Pieces are
-dealt by hash into groups of about ``group_pieces``, so that each group fits in a task whatever the input holds, and
-each group is packed on its own.
+Texts become token ids once, in the tasks that read them; only the pieces' lengths and checksums travel on. A piece as long
+as a sequence is one, and needs no group. What is left of a document, at most one piece, is numbered with its row, and
+documents are dealt at random, by a hash of that number, into groups of about ``group_documents``. A row has a number of
+its own whatever it holds, so neither rows that repeat a document nor very long documents make a group larger. Each group
+is packed on its own.
 
 Defined results: a null or empty text is its end id alone. Repeated rows are packed each on its own. An empty table
 gives no rows. Texts of any length are cut at multiples of the sequence length, and only their last piece shares a
-sequence. Columns other than the id and the text are not looked at.
+sequence. A null id stays null. Columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ from pyspark.sql import functions as F
 from webloom.llm.common import read, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: A piece and its number, which holds that of the task; numbers are fixed once the pieces are stored.
+NUMBERED = f"{PIECES}, number long"
+PACKED = f"{PIECES}, sequence_id long, offset long"
+#: Sequences of a single whole piece have ids from here on, those of groups the group's number above 32 bits.
+WHOLE = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -32,7 +39,7 @@ class Params:
     tokenizer: str = ""
     capacity: int = 2048
     end_id: int = 1
-    group_pieces: int = 8192
+    group_documents: int = 8192
     cache_words: int = 300_000
 
 
@@ -95,11 +102,14 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row for each piece of each document."""
+    """One row for each piece of each document. Store the rows before they are packed: a task that is run again on rows
+    in another order would number them in another way."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        number = TaskContext.get().partitionId() << 40
         encoder = Encoder(p.tokenizer, p.cache_words)
         step, end = 4 * p.capacity, p.end_id.to_bytes(4, "little")
         for batch in batches:
@@ -107,10 +117,11 @@ def pieces(docs: DataFrame, p: Params = Params()) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.encode(text or "") + end
                 n = len(ids) // 4
-                rows += [(doc_id, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step]), n) for at in range(0, len(ids), step)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(doc_id, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step]), n, number + i) for i, at in enumerate(range(0, len(ids), step))]
+                number += -(-len(ids) // step)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 6)], names=[x.split()[0] for x in NUMBERED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, NUMBERED)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -140,19 +151,27 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
+def grouped(cut: DataFrame, p: Params = Params()) -> DataFrame:
+    """What documents leave over whole sequences, with the group (grp) that each is dealt to."""
+    rest = cut.where(F.col("length") < p.capacity)
+    groups = max(1, -(-rest.count() // p.group_documents))
+    return rest.withColumn("grp", F.pmod(F.xxhash64("number"), F.lit(groups)))
+
+
 def pack(cut: DataFrame, p: Params = Params()) -> DataFrame:
-    """Sequence and offset of every piece. ``cut`` is read twice, for its size and to be packed; give a stored one."""
-    groups = max(1, -(-cut.count() // p.group_pieces))
+    """Sequence and offset of every piece. ``cut`` is read three times; give a stored one."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def packed(group):
-        group = group.sort_values(["doc_id", "start", "ids_crc32", "length"], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(group["length"].tolist(), p.capacity)
-        group["sequence_id"] = group["grp"] * (1 << 32) + bins
-        group["offset"] = offsets
-        return group.drop(columns="grp")
-
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(packed, f"{PIECES}, sequence_id long, offset long")
+        import pyarrow as pa
+
+        group = group.sort_by("number")
+        bins, offsets = first_fit_decreasing(group.column("length").to_pylist(), p.capacity)
+        base = group.column("grp")[0].as_py() << 32
+        return group.select(names).append_column("sequence_id", pa.array([base + x for x in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+
+    alone = cut.where(F.col("length") == p.capacity).select(*names, (F.lit(WHOLE) + F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return grouped(cut, p).groupBy("grp").applyInArrow(packed, PACKED).unionByName(alone)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
