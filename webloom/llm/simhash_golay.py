@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -182,10 +182,12 @@ def spanning(fps, nodes, distance: int) -> list[tuple[int, int]]:
 def links(classes: DataFrame, p: Params = Params()) -> DataFrame:
     """(a, b): links between classes (fp, node) that differ in at most ``distance`` bits, enough to span all that are
     linked; a class is named by its node."""
-    key = Window.partitionBy("key")
-    keyed = _keyed(classes, p).select("key", "fp", "node", F.count(F.lit(1)).over(key).alias("n"), F.row_number().over(key.orderBy("fp")).alias("rn")).where("n > 1")
+    # Keys are counted in partial aggregates, and meet their classes in a join that Spark can split; no task has to hold
+    # all classes of a key.
+    often = stored(_keyed(classes, p).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    keyed = stored(_keyed(classes, p).join(often, "key"), "keyed")
     n_blocks = F.ceil(F.col("n") / p.block).cast("int")
-    mine = F.floor((F.col("rn") - 1) / p.block).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), n_blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda x: F.struct(F.least(x, mine).alias("x"), F.greatest(x, mine).alias("y")))
     dealt = keyed.select("key", "fp", "node", F.explode(pairs).alias("at")).select("key", "at.x", "at.y", "fp", "node")
 
