@@ -76,7 +76,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _dictionary(records: list[bytes], p: Params):
-    """A dictionary of records spread evenly over the archive, or None where they are too few to train on."""
+    """A dictionary of records spread evenly over the archive. Where they are too few or too alike to train on, it is
+    their bytes themselves, which Zstandard reads as well."""
     import zstandard
 
     pieces = [x[: 64 << 10] for x in records]
@@ -86,12 +87,10 @@ def _dictionary(records: list[bytes], p: Params):
         if total + len(x) <= p.sample_bytes:
             taken.append(x)
             total += len(x)
-    if len(taken) < 16:
-        return None
     try:
         return zstandard.train_dictionary(min(p.dictionary_bytes, total // 8), taken, k=1024, d=8)
     except zstandard.ZstdError:  # too little to learn from
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(taken)[: p.dictionary_bytes], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes], p: Params) -> tuple[bytes, list[tuple[int, int]]]:
@@ -99,8 +98,8 @@ def archive(records: list[bytes], p: Params) -> tuple[bytes, list[tuple[int, int
     import zstandard
 
     trained = _dictionary(records, p)
-    held = trained.as_bytes() if trained else b""
-    packer = zstandard.ZstdCompressor(level=p.level, dict_data=trained, write_checksum=True) if trained else zstandard.ZstdCompressor(level=p.level, write_checksum=True)
+    held = trained.as_bytes()
+    packer = zstandard.ZstdCompressor(level=p.level, dict_data=trained, write_checksum=True)
     parts, at, places = [struct.pack("<II", SKIPPABLE, len(held)) + held], 8 + len(held), []
     for x in records:
         frame = packer.compress(x)
