@@ -1,13 +1,15 @@
 """Document fingerprints by winnowing, in native Spark expressions.
 
 Texts are cut into tokens, words of which long ones fall into pieces of ``longest`` code points, so that scripts without
-spaces have tokens too. Every run of ``k`` tokens is hashed from the tokens' hashes; of every ``window`` hashes in a row
+spaces have tokens too. Every run of ``k`` tokens has a rolling hash, the cyclic polynomial of the tokens' hashes: one place
+on, it is the hash turned by one bit, without the token that goes, with the one that comes. Expressions have no running
+state, so runs are put together from runs of half their length, which all places share. Of every ``window`` hashes in a row
 the smallest is chosen, the rightmost of equals, and kept with its place. Two texts that share ``window + k - 1`` tokens
 in a row share a chosen hash. A hash and its place are one number, hash above and complement of the place below, so one
 `least` over shifted arrays finds the rightmost minimum, and four doublings cover a window of sixteen.
 
 Defined results: a null text counts as empty; a text with fewer than k tokens has one hash over all of them, an empty
-one an empty fingerprint; two empty fingerprints have likeness 1, an empty and another one 0. Of rows that repeat a
+one an empty fingerprint, and one with more than 2^26 tokens is an error; two empty fingerprints have likeness 1, an empty and another one 0. Of rows that repeat a
 doc_id each has its own result, and the next document is the one of least text among the rows of the next doc_id. A single
 document is its own next one, and a null doc_id has none. An empty table gives no rows. Other columns are not looked at.
 """
@@ -36,6 +38,32 @@ class Params:
     ranges: int = 64
 
 
+def _turned(x: Column, bits: int) -> Column:
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits))
+
+
+def _joined(first: str, last: str, gap: int, width: int) -> Column:
+    """Hashes of runs from those of their first part, ``gap`` tokens, and their last part, ``width`` tokens. Behind the
+    end of a text stand zeros. The parts are arguments, not looked up in the function: what a function names may be
+    computed anew for each element."""
+    zero = F.lit(0).cast("long")
+    return F.zip_with(first, F.slice(last, F.lit(gap + 1), F.lit(PLACES + 1)), lambda x, y: _turned(x, width).bitwiseXOR(F.coalesce(y, zero)))
+
+
+def rolled(df: DataFrame, cols: list[str], hashes: str, out: str, k: int) -> DataFrame:
+    """The columns ``cols`` and ``out``: the rolling hash of ``k`` tokens from each place on."""
+    df = df.select(*cols, F.col(hashes).alias("__run"))
+    held, n, width = None, 0, 1
+    while True:
+        if k & width:
+            df = df.withColumn("__held", _joined("__held", "__run", n, width) if held else F.col("__run"))
+            held, n = "__held", n + width
+        if n == k:
+            return df.select(*cols, F.col("__held").alias(out))
+        df = df.select(*cols, *([held] if held else []), _joined("__run", "__run", width, width).alias("__run"))
+        width *= 2
+
+
 def _wider(least: str, step: int) -> Column:
     """The least of each number and the one ``step`` places on."""
     return F.transform(least, lambda x, i: F.least(x, F.get(least, i + step)))
@@ -48,14 +76,11 @@ def chosen(df: DataFrame, text: str, out: str, p: Params = Params()) -> DataFram
     cols = [c for c in df.columns if c != out]
     tokens = F.regexp_extract_all(F.col(text), F.lit(f"([^\\x20\\x09-\\x0D]{{1,{p.longest}}})"), F.lit(1))
     df = df.select(*cols, F.transform(tokens, lambda x: F.xxhash64(x)).alias("__h"))
-    starts = F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (p.k - 1), F.lit(1)))
+    df = rolled(df, cols, "__h", "__r", p.k)
+    fits = F.when(F.size("__r") <= PLACES, F.size("__r")).otherwise(F.raise_error(F.lit("a text has too many tokens for a fingerprint")).cast("int"))
+    starts = F.slice("__r", F.lit(1), F.greatest(fits - (p.k - 1), F.lit(1)))
     high = F.lit(~PLACES & ((1 << 63) - 1))
-
-    def gram(x: Column, i: Column) -> Column:
-        value = F.xxhash64(x, *(F.get("__h", i + j) for j in range(1, p.k)))
-        return value.bitwiseAND(high).bitwiseOR(F.lit(PLACES).cast("long") - i)
-
-    df = df.select(*cols, F.transform(starts, gram).alias("__m0"))
+    df = df.select(*cols, F.transform(starts, lambda x, i: x.bitwiseAND(high).bitwiseOR(F.lit(PLACES).cast("long") - i)).alias("__m0"))
     step, at = 1, "__m0"
     while step < p.window:
         df = df.select(*cols, _wider(at, step).alias(f"__m{step}"))
