@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, rank long, fp string, shard string, total long, epochs string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, rank long, fp string, shard string, total long, epochs string, quality string, toxic long"
 
 
 def _words(r, n):
@@ -19,7 +19,7 @@ def make_rows(seed=1):
     texts += [f"{_words(r, 30)} {passage} {_words(r, 30)}" for _ in range(8)]
     texts += [None, "", " \n\t", "one", "x" * 3000, "same line here now\n" * 40, _words(r, 20_000), "THE!! END!! " * 30]
     texts += ["und.34@mail7.example.com and +1 (974) 555-3436 or 4845168114407329 at 97.51.17.173 999.1.1.1", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "日本語のテキスト " * 30]
-    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or ""), "w", 1, "f", "s", 5, "e") for i, t in enumerate(texts)]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or ""), "w", 1, "f", "s", 5, "e", "good", 9) for i, t in enumerate(texts)]
     return rows + rows[-2:]  # two rows repeat whole
 
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from webloom.llm import registry
 
@@ -78,7 +79,7 @@ def _covered(texts, length):
         yield cover
 
 
-def _removed(texts, length=400, passage=240):
+def _removed(texts, length=400, passage=300):
     for t, cover, shared in zip(texts, _covered(texts, length), _covered(texts, passage), strict=True):
         kept = bytes(c for c, m in zip(t, cover, strict=True) if not m)
         yield len(t), sum(cover), sum(bool(cover[i]) and (i == 0 or not cover[i - 1]) for i in range(len(t))), hashlib.sha256(kept).hexdigest(), sum(shared)
@@ -175,18 +176,85 @@ def test_op5_matches_brute_force(spark):
 
     from webloom.llm.winnowing import PLACE_BITS, PLACES, Params, chosen
 
-    p = Params(k=2, window=4)
+    p = Params(k=3, window=4)
     text = " ".join("abcabdabcaebca"[i % 14] for i in range(200))
     df = spark.createDataFrame([(text,)], "text string")
     got = chosen(df, "text", "c", p).first()["c"]
-    hashes = df.select(F.transform(F.split("text", " "), lambda x: F.xxhash64(x)).alias("h")).select(F.transform(F.slice("h", 1, F.size("h") - 1), lambda x, i: F.xxhash64(x, F.get("h", i + 1))).alias("g")).first()["g"]
-    keys = [(x & ~PLACES & (2**63 - 1)) >> PLACE_BITS for x in hashes]
+    grams = _rolling([xxhash.xxh64_intdigest(x, 42) for x in text.split()], 3)
+    keys = [(x & ~PLACES & (2**63 - 1)) >> PLACE_BITS for x in grams]
     want = []
     for i in range(len(keys) - 3):
         at = max(range(i, i + 4), key=lambda j: (-keys[j], j))
         if not want or want[-1] != at:
             want.append(at)
     assert [PLACES - (x & PLACES) for x in got] == want
+    assert [x >> PLACE_BITS for x in got] == [keys[i] for i in want]
+
+
+def _rolling(hashes, k):
+    """Each hash from the one before: turned by a bit, without the token that goes, with the one that comes."""
+    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & (2**64 - 1)
+    value = 0
+    for x in hashes[:k]:
+        value = turn(value, 1) ^ x
+    out = [value]
+    for gone, come in zip(hashes, hashes[k:], strict=False):
+        value = turn(value, 1) ^ turn(gone, k) ^ come
+        out.append(value)
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 7, 8])
+def test_op5_hashes_roll(spark, k):
+    from webloom.llm.winnowing import rolled
+
+    r = np.random.default_rng(2)
+    lists = [[int(x) for x in r.integers(-(2**63), 2**63 - 1, size=n)] for n in (0, 1, k, k + 1, 40)]
+    got = rolled(spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, h array<long>"), ["i"], "h", "g", k).collect()
+    for i, g in got:
+        if len(lists[i]) >= k:
+            want = _rolling([x % 2**64 for x in lists[i]], k)
+            assert [x % 2**64 for x in g[: len(want)]] == want
+
+
+def test_op5_by_brute_force(spark, folder, rows):
+    """Fingerprints and likenesses of every row, from the definition."""
+    got = run(spark, "op5_winnowing", folder)
+    known = collections.defaultdict(list)
+    for r in rows:
+        known[r[0]].append(r[1] or "")
+    ids = sorted(known, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+    def fingerprint(text):
+        from webloom.llm.winnowing import PLACE_BITS
+
+        tokens = [t for w in WORD.findall(text) for t in re.findall(".{1,12}", w, re.S)]
+        h = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+        if not h:
+            return []
+        grams = _rolling(h + [0] * (5 - len(h)), 5)
+        keys = [(g & (2**63 - 1)) >> PLACE_BITS for g in grams]
+        out = []
+        for i in range(max(1, len(keys) - 15)):
+            at = max(range(i, min(i + 16, len(keys))), key=lambda j: (-keys[j], j))
+            if not out or out[-1] != (keys[at], at):
+                out.append((keys[at], at))
+        return out
+
+    def near(a, b):
+        a, b = {x for x, _ in a}, {x for x, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    show = lambda f: ",".join(f"{h:x}@{at}" for h, at in f)
+    made = {t: fingerprint(t) for texts in known.values() for t in texts}
+    want = []
+    for r in rows:
+        t, follows = r[1] or "", min(known[after[r[0]]], key=lambda x: x)
+        cut = len(t) // 3
+        edited = fingerprint(t[: len(t) - cut] + follows[:cut])
+        want.append((r[0], show(made[t]), show(edited), round(near(made[t], edited), 9), round(near(made[t], made[follows]), 9)))
+    same([(g["doc_id"], g["fingerprint"], g["edited_fingerprint"], round(g["near_edited"], 9), round(g["near_next"], 9)) for g in got], want)
 
 
 def test_op6(spark, folder):
