@@ -75,6 +75,16 @@ def authors(text: Column | str) -> Column:
     return F.pandas_udf(_authors, "array<string>")(text)
 
 
+def _all_authors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for lists in batches:
+        yield pd.Series([[name for x in (texts if texts is not None else ()) for name in authors_of(x)] for texts in lists])
+
+
+def all_authors(texts: Column | str) -> Column:
+    """Author names of an array of JSON-LD texts, in order."""
+    return F.pandas_udf(_all_authors, "array<string>")(texts)
+
+
 def flatten(text: Column | str) -> Column:
     return F.pandas_udf(_flatten, "string")(text)
 

@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from webloom.functions import text, urls
 
 
+#: What a page may say of its article beside its title.
+METADATA = ("document_metadata", "json_ld", "authors")
+
+
 def merge(pages: DataFrame) -> DataFrame:
-    """One row for each article and fetch time, from (url, fetch_time, text, links, title): pages in order of their
-    numbers, of two with one number the one of the lowest url; the union of the links; title and task url of page 1, or
-    of the first page there is."""
+    """One row for each article and fetch time, from (url, fetch_time, text, links, title) and any of METADATA: pages in
+    order of their numbers, of two with one number the one of the lowest url; the union of the links; title, task url and
+    metadata of page 1, or of the first page there is."""
+    told = ["title", *(c for c in METADATA if c in pages.columns)]
     number = F.coalesce(urls.page_number("url"), F.lit(1)).cast("bigint")
     rows = pages.withColumns({"article_url": urls.remove_pagination_params("url"), "page": number})
     key = ["article_url", "fetch_time"]
-    one = rows.groupBy(*key, "page").agg(F.min_by("text", "url").alias("text"), F.min("url").alias("url"), F.min_by("title", "url").alias("title"), F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    one = rows.groupBy(*key, "page").agg(F.min_by("text", "url").alias("text"), F.min("url").alias("url"), *(F.min_by(c, "url").alias(c) for c in told), F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
     return one.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("links")))).alias("links"),
-        F.min_by("title", F.struct(F.col("page") != 1, "page")).alias("title"),
+        *(F.min_by(c, F.struct(F.col("page") != 1, "page")).alias(c) for c in told),
         F.min_by("url", F.struct(F.col("page") != 1, "page")).alias("task_url"),
     )
 

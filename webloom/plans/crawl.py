@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom import schemas
-from webloom.functions import html, urls
+from webloom.functions import html, jsonld, urls
 from webloom.operators import articles, frontier, search
 from webloom.session import stored
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(url, fetch_time, text, links, title, document_metadata, json_ld) from (url, fetch_time, body): each document is
-    parsed once, links are resolved and made canonical natively."""
+    """(url, fetch_time, text, links, title, document_metadata, json_ld, authors) from (url, fetch_time, body): each
+    document is parsed once, links are resolved and made canonical natively."""
     parsed = html.with_parsed(pages, "body")
     links = F.array_distinct(F.array_compact(F.transform("parsed.hrefs", lambda x: urls.canonicalize_url(urls.resolve_relative_link(F.col("url"), x)))))
-    return parsed.select("url", "fetch_time", F.col("parsed.markdown").alias("text"), links.alias("links"), F.col("parsed.title").alias("title"), F.col("parsed.meta").alias("document_metadata"), F.col("parsed.json_ld").alias("json_ld"))
+    return parsed.select("url", "fetch_time", F.col("parsed.markdown").alias("text"), links.alias("links"), F.col("parsed.title").alias("title"), F.col("parsed.meta").alias("document_metadata"), F.col("parsed.json_ld").alias("json_ld"), jsonld.all_authors("parsed.json_ld").alias("authors"))
 
 
 def crawl_round(state: DataFrame, source: DataFrame, domains: DataFrame, n: int, now: int, robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -10,46 +10,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
-
-ARTICLE = "article_url string, fetch_time long, n_pages long, n_chars long, title string, pages string"
-
-
-def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Collects the pages of an article and time; gives the article when every page that its links name is there, and
-    forgets it then. Of two pages with one number the one of the lowest url counts."""
-    held: dict[int, list] = {}
-    known: set[int] = set()
-    if state.exists:
-        pages, expected = state.get
-        held, known = {int(k): v for k, v in json.loads(pages).items()}, set(json.loads(expected))
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            old = held.get(int(row.page))
-            if old is None or row.url < old[0]:
-                held[int(row.page)] = [row.url, row.text, row.title]
-            known.update(int(x) for x in row.expected)
-    if known - set(held):
-        state.update((json.dumps(held), json.dumps(sorted(known))))
-        return
-    if state.exists:
-        state.remove()
-    order = sorted(held)
-    first = held[1] if 1 in held else held[order[0]]
-    yield pd.DataFrame([{"article_url": key[0], "fetch_time": key[1], "n_pages": len(order), "n_chars": sum(len(held[n][1] or "") for n in order), "title": first[2], "pages": json.dumps([[n, held[n][1]] for n in order], ensure_ascii=False)}])
+from webloom.operators import frontier, history
+
+ARTICLE = "article_url string, fetch_time long, done boolean, n_pages long, n_chars long, title string, task_url string, links array<string>, pages string"
+STATE = "pages string, expected string, links string"
+#: How long a key is kept, in milliseconds of fetch times: a week.
+KEEP = 7 * 24 * 3600 * 1000
+
+
+def _assembler(keep: int):
+    def assemble(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        known: set[int] = set()
+        links: set[str] = set()
+        if state.exists:
+            pages, expected, found = map(json.loads, state.get)
+            held, known, links = {int(k): v for k, v in pages.items()}, set(expected), set(found)
+        if state.hasTimedOut:
+            state.remove()
+            if known <= set(held):  # it has been given
+                return
+        else:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    old = held.get(int(row.page))
+                    if old is None or row.url < old[0]:
+                        held[int(row.page)] = [None if pd.isna(x) else x for x in (row.url, row.text, row.title)]
+                    known.update(int(x) for x in row.expected)
+                    links.update(row.links)
+            state.update((json.dumps(held), json.dumps(sorted(known)), json.dumps(sorted(links))))
+            state.setTimeoutTimestamp(max(1000 * int(key[1]) + keep, state.getCurrentWatermarkMs() + 1))
+            if known - set(held):
+                return
+        order = sorted(held)
+        first = held[1] if 1 in held else held[order[0]]
+        yield pd.DataFrame([{"article_url": key[0], "fetch_time": key[1], "done": known <= set(held), "n_pages": len(order), "n_chars": sum(len(held[n][1] or "") for n in order), "title": first[2], "task_url": first[0], "links": sorted(links), "pages": json.dumps([{"page": n, "text": held[n][1]} for n in order], ensure_ascii=False)}])
+
+    return assemble
 
 
 def keyed(pages: DataFrame) -> DataFrame:
-    """(article_url, fetch_time, page, url, text, title, expected) from (url, fetch_time, text, links, title);
+    """(article_url, fetch_time, page, url, text, title, links, expected) from (url, fetch_time, text, links, title);
     expected has the numbers of the article's pages that the links name."""
     rows = pages.withColumn("article_url", urls.remove_pagination_params("url"))
     own = F.filter("links", lambda x: urls.remove_pagination_params(x) == F.col("article_url"))
     expected = F.array_compact(F.transform(own, lambda x: urls.page_number(x)))
-    return rows.select("article_url", F.col("fetch_time").cast("long").alias("fetch_time"), F.coalesce(urls.page_number("url"), F.lit(1)).cast("long").alias("page"), "url", "text", "title", expected.alias("expected"))
-
-
-def assemble(pages: DataFrame) -> DataFrame:
-    """A stream of complete articles from a stream of pages; unfinished ones wait in checkpointed state."""
-    return keyed(pages).groupBy("article_url", "fetch_time").applyInPandasWithState(_assemble, ARTICLE, "pages string, expected string", "append", "NoTimeout")
+    links = F.array_compact(F.coalesce("links", F.array().cast("array<string>")))
+    return rows.select("article_url", F.col("fetch_time").cast("long").alias("fetch_time"), F.coalesce(urls.page_number("url"), F.lit(1)).cast("long").alias("page"), "url", "text", "title", links.alias("links"), F.coalesce(expected, F.array().cast("array<bigint>")).alias("expected"))
+
+
+def assemble(pages: DataFrame, keep: int = KEEP) -> DataFrame:
+    """A stream of articles from a stream of pages, with pages in checkpointed state. An article is given when every page
+    that its links name is there, and again, whole, when more of its pages come later; of two pages with one number the
+    one of the lowest url counts. A key is forgotten when the watermark, ``keep`` milliseconds behind the newest fetch
+    time, is as far beyond its own; an article that is not complete by then is given as it is, with done false. `latest`
+    has each article once."""
+    timed = keyed(pages).withColumn("at", F.timestamp_seconds("fetch_time")).withWatermark("at", f"{keep} milliseconds")
+    return timed.groupBy("article_url", "fetch_time").applyInPandasWithState(_assembler(keep), ARTICLE, STATE, "append", "EventTimeTimeout")
+
+
+def latest(given: DataFrame) -> DataFrame:
+    """Of each article and time the row with most pages, as later rows hold all pages of earlier ones; pages as an
+    array."""
+    rest = [x.split()[0] for x in ARTICLE.split(", ")][2:]
+    one = given.groupBy("article_url", "fetch_time").agg(F.max_by(F.struct(*rest), F.struct("n_pages", "done", "n_chars")).alias("r")).select("article_url", "fetch_time", "r.*")
+    return one.withColumn("pages", F.from_json("pages", "array<struct<page:bigint,text:string>>"))
+
+
+def finalize(given: DataFrame, archive: DataFrame, frontier_table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a stream of articles has given so far, brought into the archive (url, fetch_time, pages, links) and the
+    frontier: articles become snapshots of their keys, a snapshot that has been archived with fewer pages is replaced, and
+    the pages of complete articles are marked complete. Giving the same rows again changes nothing, so it may run
+    after any micro-batch."""
+    found = latest(given)
+    new = found.select(F.col("article_url").alias("url"), "fetch_time", "pages", "links")
+    kept = archive.select(*new.columns).join(new.select("url", "fetch_time"), ["url", "fetch_time"], "left_anti")
+    return history.merge_into_archive(kept, new), frontier.mark(frontier_table, found.where("done"), "article_url")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
