@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,42 @@ def oldest_fetch_time(page: str = "page") -> Column:
     return F.coalesce(F.try_element_at(F.col(f"{page}.historical_snapshots"), F.lit(-1))["metadata"]["fetch_time"], F.col(f"{page}.current.metadata.fetch_time"), F.lit(0))
 
 
+def url(page: str = "page") -> Column:
+    return F.col(f"{page}.task.url")
+
+
+def task(page: str = "page") -> Column:
+    return F.col(f"{page}.task")
+
+
+def current(page: str = "page") -> Column:
+    """The current snapshot, or null."""
+    return F.col(f"{page}.current")
+
+
+def with_current(df: DataFrame, snapshot: Column, page: str = "page") -> DataFrame:
+    """``df`` with another current snapshot in its pages."""
+    return df.withColumn(page, F.col(page).withField("current", snapshot))
+
+
+def historical(page: str = "page") -> Column:
+    """The older snapshots, newest first."""
+    return F.coalesce(F.col(f"{page}.historical_snapshots"), F.array().cast(f"array<{schemas.RAW_SNAPSHOT}>"))
+
+
+def all_links(page: str = "page") -> Column:
+    return sorted_links(f"{page}.all_links")
+
+
+def store(pages: DataFrame, directory: str, time: Column | int, path: Callable[[str, str, Column], Column] = urls.balanced_path) -> DataFrame:
+    """Writes the documents of (url, task, current, historical_snapshots, all_links, history) below a directory, each to
+    the path that an archiver (``path``, of base, url and time) gives its URL, and returns (path, bytes). Different URLs
+    that want one path get paths of their own."""
+    at = F.lit(time).cast("bigint") if isinstance(time, int) else time
+    wanted = document(pages.withColumn("__path", F.regexp_replace(path("", "url", at), "^/+", "")), keep=("__path",))
+    return export(collisions(wanted, "__path", "url"), directory)
+
+
 def index(df: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
     """(json_file_path, url, authors) of every valid JSON document."""
     return df.where(valid_json(value)).select(F.col(path).alias("json_file_path"), jsonld.task_url(value).alias("url"), jsonld.joined_authors(value).alias("authors"))
@@ -79,10 +117,10 @@ def sorted_links(links: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.col(links) if isinstance(links, str) else links))
 
 
-def document(df: DataFrame) -> DataFrame:
-    """(url, value): the JSON document of each article of (url, task, current, historical_snapshots, all_links,
-    history)."""
-    return df.select("url", F.to_json(F.struct("task", "current", "historical_snapshots", sorted_links("all_links").alias("all_links"), "history"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+def document(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, value) and the columns ``keep``: the JSON document of each article of (url, task, current,
+    historical_snapshots, all_links, history)."""
+    return df.select("url", *keep, F.to_json(F.struct("task", "current", "historical_snapshots", sorted_links("all_links").alias("all_links"), "history"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
 
 
 def write_table(pages: DataFrame, target: str) -> None:

@@ -13,7 +13,7 @@ from webloom import schemas
 from webloom.functions import text as text_functions
 
 STORY = "struct<title:string,author:string,meta:map<string,string>,body:string>"
-_BLANK = re.compile(r"[ \t]*\n")
+_BLANKS = re.compile(r"(?:[ \t]*+\n)++")
 _MAX_DEPTH = (1 << 32) - 1
 
 
@@ -31,37 +31,37 @@ def _key(line: str) -> str | None:
 
 def parse_story(text: str | None) -> dict | None:
     """title, author, meta and body, or None where a text does not have that form."""
-    rest = (text or "").replace("\r\n", "\n")
+    story = (text or "").replace("\r\n", "\n")
 
-    def blanks(s: str) -> str | None:
-        start = s
-        while m := _BLANK.match(s):
-            s = s[m.end() :]
-        return None if s is start else s
+    def after_blanks(at: int) -> int | None:
+        """Where the blank lines from a place on end, if there is one."""
+        m = _BLANKS.match(story, at)
+        return m.end() if m else None
 
-    def line(s: str) -> tuple[str, str] | None:
-        head, end, tail = s.partition("\n")
-        return (head, tail) if end else None
+    def line(at: int) -> tuple[str, int] | None:
+        """A line that is ended, and where the next one begins. Texts are walked by place, and no rest is copied."""
+        end = story.find("\n", at)
+        return None if end < 0 else (story[at:end], end + 1)
 
-    if (rest := blanks(rest)) is None or (got := line(rest)) is None:
+    if (at := after_blanks(0)) is None or (got := line(at)) is None:
         return None
-    title, rest = got[0].strip(), got[1]
-    if (rest := blanks(rest)) is None or (got := line(rest.lstrip(" \t"))) is None or not got[0].startswith("by "):
+    title, at = got[0].strip(), got[1]
+    if (at := after_blanks(at)) is None or (got := line(at)) is None or not got[0].lstrip(" \t").startswith("by "):
         return None
-    author, rest = got[0][3:].strip(), got[1]
-    if (rest := blanks(rest)) is None:
+    author, at = got[0].lstrip(" \t")[3:].strip(), got[1]
+    if (at := after_blanks(at)) is None:
         return None
     meta: dict[str, str] = {}
-    while got := line(rest):
+    while got := line(at):
         key = _key(got[0])
         if key is None or got[0][len(key) : len(key) + 1] != ":":
             break
-        parts, rest = [got[0][len(key) + 1 :].strip()], got[1]
-        while (more := line(rest)) and _key(more[0]) is None:
+        parts, at = [got[0][len(key) + 1 :].strip()], got[1]
+        while (more := line(at)) and _key(more[0]) is None:
             parts.append(more[0].strip())
-            rest = more[1]
+            at = more[1]
         meta[key.strip()] = " ".join(x for x in parts if x)
-    return {"title": title, "author": author, "meta": meta, "body": rest}
+    return {"title": title, "author": author, "meta": meta, "body": story[at:]}
 
 
 def _parse_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -77,27 +77,28 @@ def parsed_story(text: Column | str) -> Column:
 _PAGE = ["url", "title", "text", "links", "keywords", "fetch_time", "depth", "page"]
 
 
-def from_json(df: DataFrame, fetch_time: int, value: str = "value") -> DataFrame:
+def from_json(df: DataFrame, fetch_time: int, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages of JSON stories; records without all their fields are dropped. The author and the page number are not
     kept, every story is page 1."""
     story = df.select("*", F.from_json(value, schemas.LEGACY_STORY).alias("s"))
     needed = "s.story_id is not null and s.page is not null and s.uri is not null and s.story is not null and s.keywords is not null and s.title is not null and s.author is not null and coalesce(s._id, s.id) is not null"
     links = F.array().cast("array<string>")
-    return story.where(needed).select(F.col("s.uri").alias("url"), "s.title", F.array_join("s.story", "\n\n").alias("text"), links.alias("links"), F.array_join("s.keywords", ",").alias("keywords"), F.lit(fetch_time).cast("bigint").alias("fetch_time"), F.lit(_MAX_DEPTH).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("page"))
+    return story.where(needed).select(F.col("s.uri").alias("url"), "s.title", F.array_join("s.story", "\n\n").alias("text"), links.alias("links"), F.array_join("s.keywords", ",").alias("keywords"), F.lit(fetch_time).cast("bigint").alias("fetch_time"), F.lit(_MAX_DEPTH).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("page"), *keep)
 
 
-def from_text(df: DataFrame, fetch_time: int, value: str = "value") -> DataFrame:
+def from_text(df: DataFrame, fetch_time: int, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages of text stories; texts without that form or without a story URL are dropped. Links are the values of keys
     that end in url, keywords those that end in tags, in order of their keys."""
-    story = df.select(parsed_story(F.col(value)).alias("s")).where("s.title is not null and s.meta['Story URL'] is not null")
+    story = df.select(parsed_story(F.col(value)).alias("s"), *keep).where("s.title is not null and s.meta['Story URL'] is not null")
     entries = F.array_sort(F.map_entries("s.meta"))
     of = lambda end: F.transform(F.filter(entries, lambda e: F.lower(e["key"]).endswith(end)), lambda e: e["value"])
     packaged = text_functions.parse_dates(F.coalesce(F.col("s.meta")["Packaged"], F.lit("")))["epoch"]
-    return story.select(F.col("s.meta")["Story URL"].alias("url"), "s.title", F.col("s.body").alias("text"), F.array_sort(F.array_distinct(of("url"))).alias("links"), F.lower(F.array_join(of("tags"), " ")).alias("keywords"), F.coalesce(packaged, F.lit(fetch_time)).cast("bigint").alias("fetch_time"), F.lit(_MAX_DEPTH).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("page"))
+    return story.select(F.col("s.meta")["Story URL"].alias("url"), "s.title", F.col("s.body").alias("text"), F.array_sort(F.array_distinct(of("url"))).alias("links"), F.lower(F.array_join(of("tags"), " ")).alias("keywords"), F.coalesce(packaged, F.lit(fetch_time)).cast("bigint").alias("fetch_time"), F.lit(_MAX_DEPTH).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("page"), *keep)
 
 
-def stories(df: DataFrame, fetch_time: int, value: str = "value") -> DataFrame:
-    """Pages of files of either form: JSON first, the others as text."""
+def stories(df: DataFrame, fetch_time: int, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pages of files of either form, JSON first, the others as text, with the columns ``keep`` of ``df``."""
     as_json = F.from_json(value, schemas.LEGACY_STORY)["uri"].isNotNull()
     marked = df.withColumn("__json", F.coalesce(as_json, F.lit(False)))
-    return from_json(marked.where("__json"), fetch_time, value).select(*_PAGE).unionByName(from_text(marked.where("not __json"), fetch_time, value).select(*_PAGE))
+    cols = [*_PAGE, *keep]
+    return from_json(marked.where("__json"), fetch_time, value, keep).select(*cols).unionByName(from_text(marked.where("not __json"), fetch_time, value, keep).select(*cols))
