@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it.
+#: White space as Unicode has it, for Spark's patterns, and the same code points for Python's.
 SPACES = "(?U)\\s+"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK, _WORD = re.compile(f"[{_SPACE}]*"), re.compile(f"[^{_SPACE}]+")
 
 
 def _c(x: Column | str) -> Column:
@@ -36,42 +40,68 @@ def take_overlap(text: Column | str, n: int) -> Column:
     return F.array_join(F.slice(words, F.greatest(F.size(words) - n, F.lit(0)) + 1, F.lit(max(n, 0))), " ")
 
 
+def _blocks(text: str) -> list[str]:
+    lines = text.replace("\r\n", "\n").removesuffix("\n").split("\n")
+    done: list[str] = []
+    held: list[str] = []
+    for line in lines if text else ():
+        heading = line.startswith("#")
+        if held and (heading or _BLANK.fullmatch(line)):
+            done.append("\n".join(held))
+            held = []
+            if not heading:
+                continue
+        held.append(line)
+    return [*done, "\n".join(held)] if held else done
+
+
+def _last_words(parts: list[str], n: int) -> list[str]:
+    words: list[str] = []
+    for part in reversed(parts):
+        if len(words) >= n:
+            break
+        words = _WORD.findall(part) + words
+    return words[-n:] if n > 0 else []
+
+
+def _chunks(blocks: list[str], size: int, overlap: int) -> list[str]:
+    done: list[str] = []
+    held: list[str] = []
+    n = 0
+    for block in blocks:
+        own = len(_WORD.findall(block))
+        if held and n + own > size:
+            done.append("\n\n".join(held))
+            last = _last_words(held, overlap)
+            held, n = [" ".join(last), block], len(last) + own
+        else:
+            held.append(block)
+            n += own
+    return [*done, "\n\n".join(held)] if held else done
+
+
+def _listed(run):
+    """An Arrow function text -> array<string>: each text is walked once, as expressions would copy what they have
+    gathered at every step."""
+
+    @F.pandas_udf("array<string>")
+    def listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if x is None else run(x) for x in texts])
+
+    return listed
+
+
 def markdown_blocks(text: Column | str) -> Column:
     """Blocks of lines: a heading opens one and a blank line ends one. A blank line before any other line of a block
     belongs to that block."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(_c(text), "\\r\\n", "\n"), "\\n\\z", ""), "\n")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def step(a: Column, line: Column) -> Column:
-        empty = a["open"].isNull()
-        closed = F.when(empty, a["done"]).otherwise(F.array_append(a["done"], a["open"]))
-        grown = F.when(empty, line).otherwise(F.concat(a["open"], F.lit("\n"), line))
-        heading = line.startswith("#")
-        ends = line.rlike("(?U)^\\s*$") & ~empty
-        return F.when(heading, F.struct(closed.alias("done"), line.alias("open"))).when(ends, F.struct(closed.alias("done"), F.lit(None).cast("string").alias("open"))).otherwise(F.struct(a["done"].alias("done"), grown.alias("open")))
-
-    return F.when(_c(text) == "", F.array().cast("array<string>")).otherwise(F.aggregate(lines, start, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["open"]))))
+    return _listed(_blocks)(_c(text))
 
 
-def chunk_blocks(blocks: Column | str, size: int, overlap: int) -> Column:
+def chunk_markdown(text: Column | str, size: int = 500, overlap: int = 96) -> Column:
     """Chunks packed greedily from blocks up to ``size`` words; each next chunk opens with the last ``overlap`` words
     of the one before. A block is never cut, so a long one makes a long chunk."""
-    text, array = "string", "array<string>"
-    start = F.struct(F.array().cast(array).alias("done"), F.lit(None).cast(text).alias("open"), F.lit(0).cast("long").alias("n"))
-
-    def step(a: Column, block: Column) -> Column:
-        n = estimate_tokens(block)
-        full = (a["n"] + n > size) & a["open"].isNotNull()
-        tail = take_overlap(a["open"], overlap)
-        opened = F.concat(tail, F.lit("\n\n"), block)
-        grown = F.when(a["open"].isNull(), block).otherwise(F.concat(a["open"], F.lit("\n\n"), block))
-        return F.when(full, F.struct(F.array_append(a["done"], a["open"]).alias("done"), opened.alias("open"), (estimate_tokens(tail) + n).alias("n"))).otherwise(F.struct(a["done"].alias("done"), grown.alias("open"), (a["n"] + n).alias("n")))
-
-    return F.aggregate(_c(blocks), start, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["open"])))
-
-
-def chunk_markdown(text: Column | str, size: int = 500, overlap: int = 96) -> Column:
-    return chunk_blocks(markdown_blocks(text), size, overlap)
+    return _listed(lambda x: _chunks(_blocks(x), size, overlap))(_c(text))
 
 
 #: Date formats that are tried, all in UTC.

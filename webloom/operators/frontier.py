@@ -138,10 +138,9 @@ def crawlable(df: DataFrame, domains: DataFrame, robots: DataFrame | None = None
     kept = allowed(kept, domains, "__domain")
     if robots is None:
         return kept.select(*df.columns)
+    # Spark broadcasts the robots files where their size permits; beyond it, a domain that holds most rows is split.
     joined = kept.join(robots.select(F.col("domain").alias("__domain"), F.col("txt").alias("__txt")), "__domain", "left")
-    free = joined.where("__txt is null").select(*df.columns)
-    ruled = joined.where("__txt is not null").where(robots_match(agent)(F.col("__txt"), path_and_query(url))).select(*df.columns)
-    return free.unionByName(ruled)
+    return joined.where(F.col("__txt").isNull() | robots_match(agent)(F.col("__txt"), path_and_query(url))).select(*df.columns)
 
 
 def discovered(links: DataFrame, domains: DataFrame, robots: DataFrame | None = None, agent: str = "webloom") -> DataFrame:

@@ -14,9 +14,10 @@ PAGES = "array<struct<page:bigint,text:string>>"
 
 
 def content_hash(pages: Column | str) -> Column:
-    """Equal for contents that are equal page by page, where a missing page equals an empty one."""
+    """256 bits, equal for contents that are equal page by page, where a missing page equals an empty one."""
     p = F.col(pages) if isinstance(pages, str) else pages
-    return F.xxhash64(F.array_sort(F.filter(p, lambda x: F.coalesce(x["text"], F.lit("")) != "")))
+    said = F.array_sort(F.filter(p, lambda x: F.coalesce(x["text"], F.lit("")) != ""))
+    return F.sha2(F.coalesce(F.to_json(said), F.lit("[]")), 256)
 
 
 def compacted(snapshots: DataFrame, key: str = "url", time: str = "fetch_time", content: Column | None = None) -> DataFrame:
@@ -78,6 +79,20 @@ def with_deltas(kept: DataFrame, key: str = "url", time: str = "fetch_time") ->
     return rows.withColumn("deltas", F.when(~F.col("is_current"), F.pandas_udf(_deltas, "array<struct<page:bigint,delta:string>>")(F.col("pages"), F.coalesce("__new", F.array().cast(PAGES))))).drop("__new")
 
 
+def _undeltas(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for steps, news in batches:
+        out = []
+        for step, new in zip(steps, news, strict=True):
+            after = {x["page"]: x["text"] or "" for x in (new if new is not None else [])}
+            out.append([{"page": x["page"], "text": codec.undelta(x["delta"], after.get(x["page"], ""))} for x in (step if step is not None else [])])
+        yield pd.Series(out)
+
+
+def undone(deltas: Column | str, newer: Column | str) -> Column:
+    """The pages of a snapshot from its deltas and the pages of the next newer snapshot."""
+    return F.pandas_udf(_undeltas, PAGES)(deltas, newer)
+
+
 def restored(current: list[dict], deltas: list[list[dict]]) -> list[list[dict]]:
     """The pages of older snapshots, newest first, from the current pages and the deltas of each, newest first."""
     out, pages = [], {x["page"]: x["text"] or "" for x in current}
