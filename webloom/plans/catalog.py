@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom import schemas
@@ -172,15 +172,18 @@ def link_in_degree(spark, d):
     return rows.distinct().groupBy("href").agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-@query()
+_ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
+_EDGES = f"(SELECT DISTINCT url AS source, {_ORIGIN} || '/' || replace(url_encode(substr(href, 2)), '%2C', ',') AS target FROM (SELECT url, unnest({_HREFS}) AS href FROM pages) WHERE starts_with(href, '/'))"
+
+
+@query(f"SELECT source, target FROM {_EDGES}")
 def link_edges(spark, d):
     return frontier.link_edges(read(spark, d, "pages"))
 
 
-@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw_title, len(list_distinct(" + _HREFS + ")) AS n_hrefs FROM pages WHERE NOT contains(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&')")
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw_title, len(list_distinct(" + _HREFS + ")) AS n_hrefs FROM pages")
 def page_extract(spark, d):
-    """One parse of each page, and its title as it stands there: every page has a row. The SQL leaves out titles with
-    character references, so it has only a part of these rows."""
+    """One parse of each page, and its title as it stands there."""
     pages = read(spark, d, "pages")
     raw = F.when(F.col("html").isNotNull(), F.coalesce(html.title("html"), F.lit("")))
     return html.with_parsed(pages, "html").select("page_id", raw.alias("raw_title"), F.size(F.array_distinct("parsed.hrefs")).cast("long").alias("n_hrefs"))
@@ -220,12 +223,16 @@ def json_path(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-_DOCS = ['{"task":{"url":"http://a.com/"},"current":{"metadata":{"authors":["X","Y"]}}}', '{"task":{"url":"http://b.com/"}}', "{}", "broken", '{"task":{"url":"http://c.com/"},"current":{"metadata":{"authors":["X",7]}}}']
+_INDEXED = "page_id % 5 <> 3"
 
 
-@query(f"SELECT 'f' || i AS json_file_path, CASE i WHEN 0 THEN 'http://a.com/' WHEN 1 THEN 'http://b.com/' WHEN 4 THEN 'http://c.com/' ELSE '' END AS url, CASE i WHEN 0 THEN 'X,Y' WHEN 4 THEN 'X,' ELSE '' END AS authors FROM {_sql_values('value', _DOCS)} WHERE i <> 3")
+@query(f"SELECT 'f' || page_id AS json_file_path, CASE WHEN page_id % 5 = 2 THEN '' ELSE url END AS url, CASE page_id % 5 WHEN 0 THEN 'X,Y' || page_id WHEN 4 THEN 'X,,Z' ELSE '' END AS authors FROM pages WHERE {_INDEXED}")
 def archive_index(spark, d):
-    return archive.index(_values(spark, "value", _DOCS).select(F.concat(F.lit("f"), F.col("i").cast("string")).alias("path"), "value"))
+    """Documents made of pages: with authors, without, without a task, no JSON, with an author that is no string."""
+    task = F.concat(F.lit('{"task":{"url":"'), F.col("url"), F.lit('"}'))
+    made = [F.concat(task, F.lit(',"current":{"metadata":{"authors":["X","Y'), F.col("page_id").cast("string"), F.lit('"]}}}')), F.concat(task, F.lit("}")), F.lit("{}"), F.lit("broken"), F.concat(task, F.lit(',"current":{"metadata":{"authors":["X",7,"Z"]}}}'))]
+    value = F.element_at(F.array(*made), (F.col("page_id") % 5 + 1).cast("int"))
+    return archive.index(read(spark, d, "pages").select(F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("path"), value.alias("value")))
 
 
 # --- frontier -----------------------------------------------------------------------------------------------------
@@ -307,7 +314,17 @@ def insert_or_ignore(spark, d):
     return frontier.insert_or_ignore(pages.where("url like 'https%'"), pages, "url")
 
 
-@query()
+_STARTED = f"(SELECT url, {_KEY} AS article_url, {_HOST} AS domain, CASE WHEN page_id % 3 = 0 THEN 10 ELSE 0 END::INTEGER AS priority, page_id % 6 AS depth FROM pages)"
+
+
+@query(
+    f"""WITH f AS {_STARTED}, c AS (SELECT url, depth FROM f ORDER BY priority - depth DESC, url LIMIT 10),
+    l AS (SELECT target AS url, min(depth) + 1 AS depth, first(source ORDER BY depth, source) AS source FROM {_EDGES} JOIN c ON source = c.url GROUP BY 1),
+    n AS (SELECT url, {_KEY} AS article_url, {_HOST} AS domain, depth, source FROM l)
+    SELECT coalesce(f.url, n.url) AS url, coalesce(f.article_url, n.article_url) AS article_url, coalesce(f.domain, n.domain) AS domain, coalesce(f.priority, 0) AS priority,
+    least(f.depth, n.depth) AS depth, CASE WHEN f.url IS NULL THEN n.source ELSE 'seed' END AS discovered_from, CASE WHEN c.url IS NULL THEN 'pending' ELSE 'complete' END AS status,
+    CASE WHEN c.url IS NOT NULL THEN {TIME}::BIGINT END AS claimed_at FROM f FULL JOIN n ON f.url = n.url LEFT JOIN c ON c.url = f.url"""
+)
 def crawl_round(spark, d):
     """A round over the pages table as the web: the frontier after ten fetches."""
     pages = read(spark, d, "pages")
@@ -321,38 +338,67 @@ def crawl_round(spark, d):
 
 
 def _article_pages(spark, d) -> DataFrame:
-    """Pages with a fetch time, their html as text and their own URL as only link; articles with a numbered page get
-    one more, so that there is something to merge."""
+    """Pages with a fetch time, their html as text and their own URL as link; articles with a numbered page get one
+    more, so that there is something to merge, and every second page names a ninth one, which is never there."""
     rows = read(spark, d, "pages").select("page_id", "url", "html")
-    more = rows.where("url like '%page=%'").select("page_id", F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("?page=3")).alias("url"), F.lit("third").alias("html"))
+    base = F.regexp_extract("url", "^([^?#]*)", 1)
+    more = rows.where("url like '%page=%'").select(F.lit(0).alias("page_id"), F.concat(base, F.lit("?page=3")).alias("url"), F.lit("third").alias("html"))
     both = rows.unionByName(more)
-    return both.select("url", F.lit(TIME).cast("long").alias("fetch_time"), F.col("html").alias("text"), F.array("url").alias("links"), html.title("html").alias("title"))
+    links = F.when(F.col("page_id") % 2 == 1, F.array(F.col("url"), F.concat(base, F.lit("?page=9")))).otherwise(F.array("url"))
+    return both.select("url", F.lit(TIME).cast("long").alias("fetch_time"), F.col("html").alias("text"), links.alias("links"), html.title("html").alias("title"))
 
 
-_SQL_ARTICLES = f"""(SELECT article_url, page, min_by(text, url) AS text, min_by(title, url) AS title FROM (
-    SELECT {_KEY} AS article_url, coalesce({_PAGE}, 1) AS page, url, text, nullif(regexp_extract(text, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM (
-        SELECT url, html AS text FROM pages UNION ALL SELECT {_BASE} || '?page=3', 'third' FROM pages WHERE url LIKE '%page=%')) GROUP BY 1, 2)"""
+_SQL_PAGES = f"""(SELECT {_KEY} AS article_url, coalesce({_PAGE}, 1) AS page, url, text, nullif(regexp_extract(text, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, links FROM (
+    SELECT url, html AS text, CASE WHEN page_id % 2 = 1 THEN [url, {_BASE} || '?page=9'] ELSE [url] END AS links FROM pages
+    UNION ALL SELECT {_BASE} || '?page=3' AS url, 'third', [{_BASE} || '?page=3'] FROM pages WHERE url LIKE '%page=%'))"""
+_SQL_ARTICLES = f"(SELECT article_url, page, min(url) AS url, first(text ORDER BY url) AS text, first(title ORDER BY url) AS title FROM {_SQL_PAGES} GROUP BY 1, 2)"
+_SQL_LINKS = f"(SELECT article_url, array_to_string(list_sort(list(DISTINCT link)), ' ') AS links, bool_or(link LIKE '%?page=9' AND left(link, -7) = article_url) AS open FROM (SELECT article_url, unnest(links) AS link FROM {_SQL_PAGES}) GROUP BY 1)"
 
 
-@query(f"SELECT article_url, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars, array_to_string(list(page ORDER BY page), ',') AS numbers, max(CASE WHEN page <> 1 AND 1 = 0 THEN title END) AS nothing FROM {_SQL_ARTICLES} GROUP BY 1")
+@query(
+    f"""SELECT a.article_url, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars, array_to_string(list(page ORDER BY page), ',') AS numbers, first(title ORDER BY page <> 1, page) AS title,
+    first(a.url ORDER BY page <> 1, page) AS task_url, first(links) AS links FROM {_SQL_ARTICLES} a JOIN {_SQL_LINKS} l ON l.article_url = a.article_url GROUP BY 1"""
+)
 def article_merge(spark, d):
     merged = articles.merge(_article_pages(spark, d))
-    return merged.select("article_url", F.size("pages").cast("long").alias("n_pages"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + F.char_length(p["text"])).alias("n_chars"), F.array_join(F.transform("pages", lambda p: p["page"].cast("string")), ",").alias("numbers"), F.lit(None).cast("string").alias("nothing"))
+    return merged.select("article_url", F.size("pages").cast("long").alias("n_pages"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + F.char_length(p["text"])).alias("n_chars"), F.array_join(F.transform("pages", lambda p: p["page"].cast("string")), ",").alias("numbers"), "title", "task_url", F.array_join("links", " ").alias("links"))
 
 
-@query(f"SELECT article_url, true AS done FROM {_SQL_ARTICLES} GROUP BY 1")
+@query(f"SELECT article_url, NOT open AS done FROM {_SQL_LINKS}")
 def article_complete(spark, d):
     return articles.complete(articles.merge(_article_pages(spark, d))).select("article_url", "done")
 
 
-@query(f"SELECT article_url, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars FROM {_SQL_ARTICLES} GROUP BY 1")
+def _page_stream(spark, d, batches: int) -> DataFrame:
+    """The pages of `_article_pages` as a stream of so many micro-batches, dealt by page_id, so that the pages of an
+    article come at different times."""
+    folder = new_folder(spark, "page-files")
+    rows = _article_pages(spark, d)
+    for i in range(batches):
+        rows.where(F.pmod(F.xxhash64("url"), F.lit(batches)) == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(f"SELECT a.article_url, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars FROM {_SQL_ARTICLES} a JOIN {_SQL_LINKS} l ON l.article_url = a.article_url WHERE NOT open GROUP BY 1")
 def stream_articles(spark, d):
-    """The merge as a stream over the pages table, with pages in keyed state."""
-    rows = spark.readStream.schema(read(spark, d, "pages").schema).parquet(f"{d}/pages.parque[t]")
-    more = rows.where("url like '%page=%'").select("page_id", F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("?page=3")).alias("url"), F.lit("third").alias("html"))
-    both = rows.select("page_id", "url", "html").unionByName(more)
-    pages = both.select("url", F.lit(TIME).cast("long").alias("fetch_time"), F.col("html").alias("text"), F.array("url").alias("links"), html.title("html").alias("title"))
-    return streams.run_to_table(streams.assemble(pages), new_folder(spark, "articles"), new_folder(spark, "state")).select("article_url", "n_pages", "n_chars")
+    """The merge as a stream over the pages table in three micro-batches, with pages in keyed state."""
+    given = streams.run_to_table(streams.assemble(_page_stream(spark, d, 3)), new_folder(spark, "articles"), new_folder(spark, "state"))
+    return streams.latest(given).select("article_url", "n_pages", "n_chars")
+
+
+@query(
+    f"""WITH f AS (SELECT url, {_KEY} AS article_url FROM pages), g AS (SELECT a.article_url, array_to_string(list(text ORDER BY page), '|') AS text FROM {_SQL_ARTICLES} a JOIN {_SQL_LINKS} l ON l.article_url = a.article_url WHERE NOT open GROUP BY 1)
+    SELECT f.url, CASE WHEN g.article_url IS NULL THEN 'pending' ELSE 'complete' END AS status, md5(text) AS digest FROM f LEFT JOIN g ON g.article_url = f.article_url"""
+)
+def stream_finalize(spark, d):
+    """Articles of a stream brought into an empty archive and a frontier of all pages, after every run of two."""
+    given = streams.run_to_table(streams.assemble(_page_stream(spark, d, 2)), new_folder(spark, "articles"), new_folder(spark, "state"))
+    empty = spark.createDataFrame([], "url string, fetch_time bigint, pages array<struct<page:bigint,text:string>>, links array<string>")
+    state = frontier.enqueue(_frontier(spark, d, "false"), _tasks(spark, d))
+    archived, state = streams.finalize(given, empty, state)
+    archived, state = streams.finalize(given, stored(archived, "archive"), stored(state, "frontier"))  # once more: no change
+    digest = F.md5(F.array_join(F.transform("pages", lambda p: p["text"]), "|").cast("binary"))
+    return state.select("url", "article_url", "status").join(archived.select(F.col("url").alias("article_url"), digest.alias("digest")), "article_url", "left").select("url", "status", "digest")
 
 
 _RUNS = "SELECT event_id, user_id, event_type, lead(event_id) OVER w IS NULL AS is_current, lead(event_type) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
@@ -370,41 +416,53 @@ def snapshot_history(spark, d):
 
 
 def _turn_pages(spark, d) -> DataFrame:
-    rows = read(spark, d, "conversations").where("text is not null")
+    rows = read(spark, d, "conversations")
     return rows.select(F.col("conv_id").cast("string").alias("url"), F.col("turn").alias("fetch_time"), F.array(F.struct(F.lit(1).cast("long").alias("page"), F.col("text").alias("text"))).alias("pages"))
 
 
-@query("SELECT conv_id::VARCHAR AS url, turn AS fetch_time, CASE WHEN n IS NULL THEN NULL ELSE 100 * (n <> text)::INTEGER END::INTEGER AS distance FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE text IS NOT NULL)")
+@query("SELECT conv_id::VARCHAR AS url, turn AS fetch_time, CASE WHEN n IS NULL THEN NULL ELSE 100 * (n <> text)::INTEGER END::INTEGER AS distance FROM (SELECT conv_id, turn, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
 def snapshot_distance(spark, d):
-    from pyspark.sql import Window
-
     rows = _turn_pages(spark, d).withColumn("n", F.lead("pages").over(Window.partitionBy("url").orderBy("fetch_time")))
     return rows.select("url", "fetch_time", F.when(F.col("n").isNotNull(), history.max_distance(F.col("pages"), F.col("n"))).alias("distance"))
 
 
-@query("SELECT c.conv_id::VARCHAR AS url, c.turn AS fetch_time FROM conversations c JOIN (SELECT conv_id, max(turn) AS newest FROM conversations WHERE text IS NOT NULL AND role = 'user' GROUP BY 1) a USING (conv_id) WHERE c.text IS NOT NULL AND c.turn <= a.newest")
+@query("SELECT c.conv_id::VARCHAR AS url, c.turn AS fetch_time FROM conversations c JOIN (SELECT conv_id, max(turn) AS newest FROM conversations WHERE role = 'user' GROUP BY 1) a USING (conv_id) WHERE c.turn <= a.newest")
 def snapshot_late(spark, d):
     """Turns that are no later than the newest user turn of their conversation."""
-    rows = read(spark, d, "conversations").where("text is not null").select(F.col("conv_id").cast("string").alias("url"), F.col("turn").alias("fetch_time"), "role")
+    rows = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("url"), F.col("turn").alias("fetch_time"), "role")
     return history.late(rows, rows.where("role = 'user'")).select("url", "fetch_time")
 
 
-@query()
+_TURNS = "(SELECT conv_id::VARCHAR AS url, turn, coalesce(text, '') AS x FROM conversations)"
+_KEPT = "(SELECT url, turn, x, later IS NULL AS is_current FROM (SELECT *, lead(x) OVER w AS n, lead(turn) OVER w AS later FROM {} WINDOW w AS (PARTITION BY url ORDER BY turn)) WHERE later IS NULL OR n <> x)"
+
+
+@query(
+    f"""WITH t AS {_TURNS}, o AS (SELECT url, turn, x FROM {_KEPT.format("(SELECT * FROM t WHERE turn < 2)")}),
+    a AS (SELECT * FROM o UNION ALL SELECT t.url, turn, x FROM t LEFT JOIN (SELECT url, max(turn) AS m FROM o GROUP BY 1) newest ON newest.url = t.url WHERE m IS NULL OR turn > m)
+    SELECT url, turn AS fetch_time, is_current FROM {_KEPT.format("a")}"""
+)
 def snapshot_merge(spark, d):
     rows = _turn_pages(spark, d).withColumn("links", F.array().cast("array<string>"))
     old = history.compacted(rows.where("fetch_time < 2")).select(*rows.columns)
     return history.merge_into_archive(old, rows).select("url", "fetch_time", "is_current")
 
 
-@query()
+@query(f"SELECT url, turn AS fetch_time, is_current, x AS restored FROM {_KEPT.format(_TURNS)}")
 def snapshot_deltas(spark, d):
-    return history.with_deltas(history.compacted(_turn_pages(spark, d))).select("url", "fetch_time", "is_current", F.get("deltas", 0)["delta"].alias("delta"))
+    """Older snapshots as deltas against the next newer one, and what is restored from those."""
+    rows = history.with_deltas(history.compacted(_turn_pages(spark, d)))
+    newer = F.lead("pages").over(Window.partitionBy("url").orderBy("fetch_time"))
+    rows = rows.withColumn("newer", newer).withColumn("older", F.when(F.col("is_current"), F.col("pages")).otherwise(history.undone("deltas", "newer")))
+    return rows.select("url", "fetch_time", "is_current", F.coalesce(F.get("older", 0)["text"], F.lit("")).alias("restored"))
 
 
-@query(f"SELECT page_id, {_KEY} AS link FROM pages")
+@query(f"SELECT 'u' || page_id // 4 AS url, array_to_string(list_sort(list(DISTINCT link)), ' ') AS links FROM (SELECT page_id, {_KEY} AS link FROM pages UNION ALL SELECT page_id, 'http://e.com/x' FROM pages WHERE page_id % 3 = 0) GROUP BY 1")
 def link_union(spark, d):
-    rows = read(spark, d, "pages").select(F.col("page_id").alias("url"), F.array("url").alias("links"))
-    return history.all_links(rows).select(F.col("url").alias("page_id"), F.get("all_links", 0).alias("link"))
+    """The links of four snapshots each, some of which several share."""
+    more = F.when(F.expr("page_id % 3 = 0"), F.array(F.lit("http://e.com/x?page=1"), F.lit("http://e.com/x?page=2"))).otherwise(F.array())
+    rows = read(spark, d, "pages").select(F.concat(F.lit("u"), F.expr("page_id div 4").cast("string")).alias("url"), F.concat(F.array("url"), more).alias("links"))
+    return history.all_links(rows).select("url", F.array_join("all_links", " ").alias("links"))
 
 
 @query("SELECT doc_id, text AS restored FROM documents")
@@ -426,24 +484,48 @@ def word_count(spark, d):
     return read(spark, d, "documents").select("doc_id", text.estimate_tokens("text").alias("n_words"))
 
 
-@query()
+#: Every line of a document as a paragraph: a block each.
+_LINES = "string_split(CASE WHEN ends_with(t, chr(10)) THEN left(t, -1) ELSE t END, chr(10))"
+_WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
+_TAIL = f"{_WORDS.format('c.open')}[-96:]"
+_CHUNKS = f"""WITH RECURSIVE b AS (SELECT doc_id, blocks, list_transform(blocks, lambda x: len({_WORDS.format('x')})) AS sizes FROM (SELECT doc_id, {_LINES} AS blocks FROM (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS t FROM documents WHERE {{}}))),
+    c AS (SELECT doc_id, 1 AS i, 0 AS chunk_id, blocks[1] AS open, sizes[1] AS n, NULL::VARCHAR AS done FROM b
+    UNION ALL SELECT doc_id, c.i + 1, CASE WHEN n + sizes[c.i + 1] > 500 THEN chunk_id + 1 ELSE chunk_id END,
+    CASE WHEN n + sizes[c.i + 1] > 500 THEN array_to_string({_TAIL}, ' ') ELSE c.open END || chr(10) || chr(10) || blocks[c.i + 1],
+    CASE WHEN n + sizes[c.i + 1] > 500 THEN len({_TAIL}) ELSE n END + sizes[c.i + 1], CASE WHEN n + sizes[c.i + 1] > 500 THEN c.open END FROM c JOIN b USING (doc_id) WHERE c.i < len(blocks)),
+    chunks AS (SELECT doc_id, chunk_id - 1 AS chunk_id, done AS text FROM c WHERE done IS NOT NULL UNION ALL SELECT doc_id, chunk_id, open FROM c JOIN b USING (doc_id) WHERE i = len(blocks))"""
+_CHUNK_ID = "sha256({} || '#' || chunk_id)"
+
+
+def _paragraphs(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", "source", F.regexp_replace("text", "\n", "\n\n").alias("body"))
+
+
+@query(_CHUNKS.format("text <> ''") + f" SELECT {_CHUNK_ID.format('doc_id')} AS id, doc_id::VARCHAR AS source, chunk_id::BIGINT AS chunk_id, text FROM chunks")
 def chunk_documents(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\\n", "\n\n").alias("body"))
-    return articles.chunks(docs, "doc_id", "body")
+    return articles.chunks(_paragraphs(spark, d), "doc_id", "body")
 
 
-_CHUNKED = ["This is a long text\n\nWith multiple\n\nParagraphs and\n\nHeadings", "# One\n\nTwo words\n\n## Three", ""]
+_CHUNKED = ["Seven small words make up\n\nthis first\n\npart and\n\nrest", "# Top\n\nSome prose\n\n## Below that", ""]
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'This is a long text' || chr(10) || chr(10) || 'With multiple'), (0, 1, 'With multiple' || chr(10) || chr(10) || 'Paragraphs and' || chr(10) || chr(10) || 'Headings'), (1, 0, '# One' || chr(10) || chr(10) || 'Two words' || chr(10) || chr(10) || '## Three')) AS t(i, chunk_id, chunk)")
+@query("SELECT * FROM (VALUES (0, 0, 'Seven small words make up' || chr(10) || chr(10) || 'this first'), (0, 1, 'this first' || chr(10) || chr(10) || 'part and' || chr(10) || chr(10) || 'rest'), (1, 0, '# Top' || chr(10) || chr(10) || 'Some prose' || chr(10) || chr(10) || '## Below that')) AS t(i, chunk_id, chunk)")
 def chunk_cases(spark, d):
     return _values(spark, "x", _CHUNKED).select("i", F.posexplode(text.chunk_markdown("x", 7, 2)).alias("chunk_id", "chunk"))
 
 
-@query()
+def _merged_documents(spark, d) -> DataFrame:
+    pages = F.array(F.struct(F.lit(1).cast("long").alias("page"), F.col("body").alias("text")))
+    return _paragraphs(spark, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("article_url"), pages.alias("pages"))
+
+
+_GATED = "strlen(replace(text, chr(10), chr(10) || chr(10))) >= 5000"
+_DOC = "'doc:' || doc_id"
+
+
+@query(_CHUNKS.format(_GATED) + f" SELECT {_CHUNK_ID.format(_DOC)} AS id, {_DOC} AS source, chunk_id::BIGINT AS chunk_id, 64 AS dimension, length(text) AS n_chars FROM chunks")
 def index_points(spark, d):
-    merged = read(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("article_url"), F.array(F.struct(F.lit(1).cast("long").alias("page"), F.col("text").alias("text"))).alias("pages"))
-    return crawl.points(merged).select("id", "source", "chunk_id", F.size("vector").alias("dimension"))
+    return crawl.points(_merged_documents(spark, d)).select("id", "source", "chunk_id", F.size("vector").alias("dimension"), F.char_length("text").cast("long").alias("n_chars"))
 
 
 def _query_vector(spark, d) -> list[float]:
@@ -473,10 +555,10 @@ def vector_normalized(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("SELECT label, i - 1 AS place, round(avg(x), 4) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")
+@query("SELECT label, i - 1 AS place, round(avg(x), 4) + 0.0 AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")
 def vector_mean_by_label(spark, d):
     rows = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
-    return rows.groupBy("label", F.col("place").cast("long").alias("place")).agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+    return rows.groupBy("label", F.col("place").cast("long").alias("place")).agg((F.round(F.avg(F.col("x").cast("double")), 4) + 0.0).alias("mean"))
 
 
 @query("SELECT row_number() OVER (ORDER BY s DESC, id) AS rank, round(s, 4) AS score, source, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS text FROM (" + _TOP.format(c=_COSINE, w="", k=5).replace("round(" + _COSINE + ", 4) AS score", _COSINE + " AS s, d.doc_id AS id, d.source, d.text").replace("FROM embeddings e,", "FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id,") + ")")
@@ -485,18 +567,17 @@ def search_display(spark, d):
     return search.display(search.top_k(points, _query_vector(spark, d), 5)).withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("SELECT * FROM (VALUES (0, 2.0, 3.0), (1, 5.0, 7.0)) AS t(i, x, y)".replace("2.0, 3.0", "2.0::DOUBLE, 3.0::DOUBLE"))
+@query("SELECT vec_id // 50 AS grp, i - 1 AS place, round(avg(x), 4) + 0.0 AS mean FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")
 def mean_pooling(spark, d):
-    rows = spark.createDataFrame([(0, [[1.0, 2.0], [3.0, 4.0]]), (1, [[5.0, 7.0]])], "i int, t array<array<float>>")
-    pooled = vectors.mean_pool("t")
-    return rows.select("i", pooled[0].alias("x"), pooled[1].alias("y"))
+    """Fifty vectors at a time as the tokens of a text."""
+    rows = read(spark, d, "embeddings").groupBy(F.expr("vec_id div 50").alias("grp")).agg(F.collect_list("embedding").alias("t"))
+    return rows.select("grp", F.posexplode(vectors.mean_pool("t")).alias("place", "x")).select("grp", F.col("place").cast("long").alias("place"), (F.round("x", 4) + 0.0).alias("mean"))
 
 
 @query()
 def search_query(spark, d):
     """From documents to points to the results of a text query."""
-    merged = read(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("article_url"), F.array(F.struct(F.lit(1).cast("long").alias("page"), F.col("text").alias("text"))).alias("pages"))
-    return crawl.find(crawl.points(merged), "the and of", 5)
+    return crawl.find(crawl.points(_merged_documents(spark, d)), "the and of", 5)
 
 
 @query()
@@ -506,12 +587,20 @@ def vector_approximate(spark, d):
 
 # --- dates and legacy files ---------------------------------------------------------------------------------------
 
-_DATES = ["2026-03-13", "13/03/2026", "03/13/2026", "01/02/2026", "2026-03-13 12:00:00", "not-a-date", "03/03/2026", "2026-3-1"]
+_WRITTEN = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "dd.MM.yyyy"]
+_DAY = "epoch(date_trunc('day', o_orderdate))::BIGINT"
+_UNSURE = "day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)"
 
 
-@query("SELECT * FROM (VALUES (0, 1773360000, NULL), (1, 1773360000, NULL), (2, 1773360000, NULL), (3, NULL, 'ambiguous'), (4, 1773403200, NULL), (5, NULL, 'invalid'), (6, 1772496000, NULL), (7, 1772323200, NULL)) AS t(i, epoch, error)".replace("1773360000, NULL), (1", "1773360000::BIGINT, NULL), (1"))
+@query(
+    f"""SELECT o_orderkey, CASE WHEN k = 5 OR k IN (1, 2) AND unsure THEN NULL WHEN k = 3 THEN epoch(o_orderdate)::BIGINT ELSE day END AS epoch,
+    CASE WHEN k = 5 THEN 'invalid' WHEN k IN (1, 2) AND unsure THEN 'ambiguous' END AS error FROM (SELECT *, o_orderkey % 6 AS k, {_DAY} AS day, {_UNSURE} AS unsure FROM orders)"""
+)
 def parse_dates(spark, d):
-    return _values(spark, "x", _DATES).select("i", text.parse_dates("x").alias("r")).select("i", "r.epoch", "r.error")
+    """Order dates written in several ways: day first, month first, with a time, without zeros, with points."""
+    ways = F.array(*(F.date_format("o_orderdate", w) for w in _WRITTEN))
+    written = F.element_at(ways, (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", text.parse_dates(written).alias("r")).select("o_orderkey", "r.epoch", "r.error")
 
 
 @query("SELECT o_orderkey, epoch(date_trunc('day', o_orderdate))::BIGINT AS epoch FROM orders")
@@ -524,12 +613,18 @@ def month_bucket(spark, d):
     return read(spark, d, "orders").select("o_orderkey", urls.month_bucket(F.unix_timestamp("o_orderdate")).alias("month"))
 
 
-_STORIES = ['{"_id":"1","story_id":"s1","page":1,"uri":"https://example.com","story":["para1","para2"],"keywords":["rust","parser"],"title":"Test Title","author":"Test Author"}', "\nMy Story\n\nby Jane Doe\n\nStory URL: https://example.com/story\nPackaged: 2024-01-01\nTAGS: One Two\n\nThe story content.\nMore.\n", "no story"]
-
-
-@query("SELECT * FROM (VALUES ('https://example.com', 'Test Title', 'para1' || chr(10) || chr(10) || 'para2', 'rust,parser', 1700000000::BIGINT), ('https://example.com/story', 'My Story', 'The story content.' || chr(10) || 'More.' || chr(10), 'one two', 1704067200)) AS t(url, title, text, keywords, fetch_time)")
+@query(
+    f"""SELECT url, 'Tale ' || page_id AS title, CASE page_id % 3 WHEN 0 THEN 'first ' || page_id || chr(10) || chr(10) || 'second' ELSE 'Said ' || page_id || '.' || chr(10) || 'Done.' || chr(10) END AS text,
+    CASE page_id % 3 WHEN 0 THEN 'k' || page_id || ',x' ELSE 'one t' || page_id END AS keywords, CASE page_id % 3 WHEN 0 THEN {TIME} ELSE epoch(DATE '2024-01-01' + (page_id % 12)::INTEGER)::BIGINT END AS fetch_time FROM pages WHERE page_id % 3 <> 2"""
+)
 def legacy_stories(spark, d):
-    return legacy.stories(_values(spark, "value", _STORIES), TIME).select("url", "title", "text", "keywords", "fetch_time")
+    """Stories made of pages, as JSON, as text, and files that are neither."""
+    n = F.col("page_id").cast("string")
+    as_json = F.to_json(F.struct(n.alias("_id"), n.alias("story_id"), F.lit(1).alias("page"), F.col("url").alias("uri"), F.array(F.concat(F.lit("first "), n), F.lit("second")).alias("story"), F.array(F.concat(F.lit("k"), n), F.lit("x")).alias("keywords"), F.concat(F.lit("Tale "), n).alias("title"), F.lit("Ann Other").alias("author")))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 12).cast("int")), "yyyy-MM-dd")
+    as_text = F.concat(F.lit("\n\nTale "), n, F.lit("\n\nby Ann Other\n\nStory URL: "), F.col("url"), F.lit("\nPackaged: "), day, F.lit("\nTAGS: One\n  T"), n, F.lit("\n\nSaid "), n, F.lit(".\nDone.\n"))
+    value = F.element_at(F.array(as_json, as_text, F.lit("no story")), (F.col("page_id") % 3 + 1).cast("int"))
+    return legacy.stories(read(spark, d, "pages").select(value.alias("value")), TIME).select("url", "title", "text", "keywords", "fetch_time")
 
 
 # --- events -------------------------------------------------------------------------------------------------------
