@@ -122,10 +122,10 @@ def test_body_limit(spark):
 
 
 def test_legacy():
-    text = "\n        \nMy Story Title\n\nby Jane Doe\n\nStory URL: https://example.com/story\nDESC: first line\n continuation\n another\nA: 1\n\nThis is the content.\nSecond.\n"
+    text = "\n \t \nThe Grey Heron\n\nby R. Marsh\n\nStory URL: https://tales.example.org/heron\nDESC: a bird\n by the water\n at dusk\nA: 1\n\nIt stood still.\nThen it flew.\n"
     got = legacy.parse_story(text)
-    assert (got["title"], got["author"], got["meta"]["DESC"], got["meta"]["A"]) == ("My Story Title", "Jane Doe", "first line continuation another", "1")
-    assert got["body"] == "This is the content.\nSecond.\n"
+    assert (got["title"], got["author"], got["meta"]["DESC"], got["meta"]["A"]) == ("The Grey Heron", "R. Marsh", "a bird by the water at dusk", "1")
+    assert got["body"] == "It stood still.\nThen it flew.\n"
     assert legacy.parse_story("no blank line first") is None and legacy.parse_story(None) is None
 
 

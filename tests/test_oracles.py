@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _shown(rows, names, order):
     def value(x):
-        return round(x, 4) if isinstance(x, float) else x
+        return round(x, 4) + 0.0 if isinstance(x, float) else x  # no negative zero
 
     return sorted(tuple(repr(value(r[names.index(n)])) for n in order) for r in rows)
 

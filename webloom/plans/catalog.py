@@ -580,8 +580,9 @@ def search_query(spark, d):
     return crawl.find(crawl.points(_merged_documents(spark, d)), "the and of", 5)
 
 
-@query()
+@query(_TOP.format(c=_COSINE, w="", k=10))
 def vector_approximate(spark, d):
+    """An approximate search; the SQL is the exact one, of which it finds all ten on the test tables."""
     return search.approximate_top_k(read(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", F.round("score", 4).alias("score"))
 
 

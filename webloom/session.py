@@ -23,6 +23,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 _made: dict[str, str] = {}
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,5 +48,18 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors, and costly parts
     that several branches read are computed once."""
     path = new_folder(df.sparkSession, what)
+    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that `stored` has written in this process, and returns their number. Call it when the results of
+    the queries that read them have been written."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_stored)
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
