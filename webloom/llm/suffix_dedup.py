@@ -210,7 +210,7 @@ def _block_marks(cut: DataFrame, p: Params) -> tuple[DataFrame, list[DataFrame]]
     one = stored(found.groupBy(*BLOCKS).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*PLACE, "start", "n", "size", "single")).alias("rep")), "whole-blocks")
     equal = stored(_equal(found.where("single").withColumn("first", F.col("start")).join(one.where("copies > 1").select(*BLOCKS), BLOCKS), p), "equal-blocks")
     groups = one.groupBy(*CORE).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("rep.single") & (F.col("copies") == 1)).alias("singles")).where("m > 1 and singles > 0")
-    wanted = one.join(groups, CORE).select(F.xxhash64(*CORE).alias("key"), *(f"rep.{c}" for c in PLACE), "rep.start", "rep.n", "rep.size", (F.col("rep.single") & (F.col("copies") == 1)).alias("single"), (F.col("m") > p.group).alias("common"))
+    wanted = one.join(stored(groups, "core-groups"), CORE).select(F.xxhash64(*CORE).alias("key"), *(f"rep.{c}" for c in PLACE), "rep.start", "rep.n", "rep.size", (F.col("rep.single") & (F.col("copies") == 1)).alias("single"), (F.col("m") > p.group).alias("common"))
     wanted = wanted.groupBy(*PLACE).agg(F.collect_list(F.struct("key", "start", "n", "size", "single", "common")).alias("parts"))  # of one context
     parts = cut.select(*PLACE, "anchor", "data", "off").join(wanted, PLACE).select("*", F.inline("parts")).drop("parts")
     begin = F.col("start") - F.col("first")
@@ -237,7 +237,7 @@ def marks(rows: DataFrame, p: Params = Params()) -> DataFrame:
     contexts = stored(found.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*PLACE, "size")).alias("rep")), "contexts")
     equal = stored(_equal(found.join(contexts.where("copies > 1").select(*CONTEXT), CONTEXT), p), "equal")
     groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("copies") == 1).alias("singles")).where("m > 1 and singles > 0")
-    wanted = contexts.join(groups, "anchor").select("anchor", *(f"rep.{c}" for c in PLACE), "n", "rep.size", "off", (F.col("copies") == 1).alias("single"), (F.col("m") > p.group).alias("common"))
+    wanted = contexts.join(stored(groups, "groups"), "anchor").select("anchor", *(f"rep.{c}" for c in PLACE), "n", "rep.size", "off", (F.col("copies") == 1).alias("single"), (F.col("m") > p.group).alias("common"))
     cut = stored(_cut(rows, stored(wanted, "wanted"), p), "cut")  # one shuffle of texts serves both ways
     members, others = _block_marks(cut.where("common"), p)
     merged = stored(_merged_marks(cut.where("not common").withColumnRenamed("anchor", "key").select(*MEMBERS).unionByName(members.select(*MEMBERS)), p), "merged")
