@@ -122,7 +122,7 @@ def _exponent(totals, p, epochs):
     return 1.0
 
 
-@pytest.mark.parametrize("budget", [None, 3_000, 12_000, 40_000, 200_000])
+@pytest.mark.parametrize("budget", [None, 3_000, 40_000])
 def test_op9_by_brute_force(spark, budget):
     """Weights, budgets, whole epochs, partial epochs and places, computed again in plain Python."""
     p = mixing.Params(max_epochs=2.0, budget_tokens=budget, block_tokens=700)
