@@ -188,3 +188,15 @@ def test_fetch_and_rounds(spark):
     state, pages = crawl.run(spark, page_sources.seeds(spark, ["http://a.com"]), source, spark.createDataFrame([("a.com",)], "domain string"), 3, 5, 100)
     assert rows(state, "url", "status") == [("http://a.com/", "complete"), ("http://a.com/b", "complete"), ("http://a.com/c", "in_progress")]
     assert rows(pages, "url", "fetch_time") == [("http://a.com/", 100), ("http://a.com/b", 101)]
+
+
+def test_stored_tables_can_be_forgotten(spark):
+    from webloom.session import forget, stored
+
+    forget(spark)
+    table = stored(spark.range(5), "numbers")
+    files = table.inputFiles()
+    assert table.count() == 5 and files and forget(spark) == 1 and forget(spark) == 0
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
