@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from webloom.llm import pii, semicrf, simhash_golay
+from webloom.llm import pii, registry, semicrf, simhash_golay
 
 LONG = [
     ("written_email", "first.last [at] example [dot] com"),
@@ -105,3 +105,22 @@ def test_dictionary_samples_reach_the_end(monkeypatch):
     places = [int.from_bytes(x[:4], "little") for x in seen]
     assert places[-1] > 3100 and max(b - a for a, b in zip(places, places[1:], strict=False)) < 20
     assert p.sample_bytes // 2 < sum(map(len, seen)) <= p.sample_bytes
+
+
+def _broadcasts(spark, run) -> list[str]:
+    """The plans with a broadcast among those that ``run`` executes, with the default threshold."""
+    log = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = log.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = log.executionsList()
+    plans = [found.apply(i).physicalPlanDescription() for i in range(before, found.size())]
+    assert plans
+    return [x for x in plans if "BroadcastExchange" in x]
+
+
+def test_op10_broadcasts_nothing_that_grows(spark, docs, folder):
+    """Small stored tables are below the threshold, and still no side that grows with the corpus goes to the driver."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "-1b")
+    assert not _broadcasts(spark, lambda: registry.queries()["op10_simhash_golay"](spark, folder).collect())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import stored
+from webloom.llm.common import large, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -23,9 +23,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while mark[0]:
         both = edges.select("u", F.col("v").alias("n")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("n")))
         least = both.groupBy("u").agg(F.min("n").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("n > u").select(F.col("n").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        big = both.join(large(least), "u").where("n > u").select(F.col("n").alias("u"), F.col("m").alias("v")).distinct()
+        least = big.groupBy("u").agg(F.min("v").alias("m"))
+        small = big.join(large(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         if mark == (mark := _mark(edges)):
             break

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from webloom.llm.common import read, stored
+from webloom.llm.common import large, read, stored
 from webloom.llm.components import components
 
 #: Fixed by the code: the generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the binary Golay code.
@@ -185,7 +185,7 @@ def links(classes: DataFrame, p: Params = Params()) -> DataFrame:
     # Keys are counted in partial aggregates, and meet their classes in a join that Spark can split; no task has to hold
     # all classes of a key.
     often = stored(_keyed(classes, p).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    keyed = stored(_keyed(classes, p).join(often, "key"), "keyed")
+    keyed = stored(_keyed(classes, p).join(large(often), "key"), "keyed")
     n_blocks = F.ceil(F.col("n") / p.block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), n_blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda x: F.struct(F.least(x, mine).alias("x"), F.greatest(x, mine).alias("y")))
@@ -236,16 +236,16 @@ def grouped(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
     prints = stored(fingerprints(docs, p), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = components(links(classes.select("fp", F.col("fp").alias("node")), p), "a", "b")
-    named = stored(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    named = stored(classes.join(large(found.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints, stored(named.join(ids, "root").select("fp", "root", "component_id"), "roots")
+    return prints, stored(named.join(large(ids), "root").select("fp", "root", "component_id"), "roots")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id that it can reach by links
     of at most ``distance`` bits, and null where it reaches none."""
     prints, roots = grouped(docs, p)
-    return prints.join(roots, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(large(roots), "fp").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
