@@ -124,3 +124,7 @@ def test_op10_broadcasts_nothing_that_grows(spark, docs, folder):
     """Small stored tables are below the threshold, and still no side that grows with the corpus goes to the driver."""
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "-1b")
     assert not _broadcasts(spark, lambda: registry.queries()["op10_simhash_golay"](spark, folder).collect())
+
+
+def test_pipeline_stage_broadcasts_nothing_that_grows(spark, docs, folder):
+    assert not _broadcasts(spark, lambda: simhash_golay.one_of_each(spark, docs, folder).collect())

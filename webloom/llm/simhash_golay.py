@@ -266,12 +266,12 @@ def _one_without_id(docs: DataFrame, roots: DataFrame, p: Params = Params()) ->
     schema = StructType([StructField("row", docs.schema), StructField("fp", LongType())])
     rows = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
     first = rows.groupBy("fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return first.join(roots.where("component_id is null"), "fp").groupBy("root").agg(F.min_by("row", "fp").alias("row")).select("row.*")
+    return first.join(large(roots.where("component_id is null")), "fp").groupBy("root").agg(F.min_by("row", "fp").alias("row")).select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents the one with the smallest doc_id stays; of rows that repeat
     that doc_id, all stay. Of a group without any doc_id one row stays."""
     prints, roots = grouped(docs)
-    stay = prints.join(roots, "fp").where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(_one_without_id(docs, roots))
+    stay = prints.join(large(roots), "fp").where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(large(stay), "doc_id", "left_semi").select(*docs.columns).unionByName(_one_without_id(docs, roots))
