@@ -14,13 +14,15 @@ METADATA = ("document_metadata", "json_ld", "authors")
 
 def merge(pages: DataFrame) -> DataFrame:
     """One row for each article and fetch time, from (url, fetch_time, text, links, title) and any of METADATA: pages in
-    order of their numbers, of two with one number the one of the lowest url; the union of the links; title, task url and
+    order of their numbers, of two with one number the one of the lowest url, of two of one url the one of the lowest
+    ``place`` (where pages have one) and text; the union of the links; title, task url and
     metadata of page 1, or of the first page there is."""
     told = ["title", *(c for c in METADATA if c in pages.columns)]
     number = F.coalesce(urls.page_number("url"), F.lit(1)).cast("bigint")
     rows = pages.withColumns({"article_url": urls.remove_pagination_params("url"), "page": number})
     key = ["article_url", "fetch_time"]
-    one = rows.groupBy(*key, "page").agg(F.min_by("text", "url").alias("text"), F.min("url").alias("url"), *(F.min_by(c, "url").alias(c) for c in told), F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    order = F.struct("url", *(c for c in ["place"] if c in pages.columns), "text")
+    one = rows.groupBy(*key, "page").agg(F.min_by(F.struct("text", "url", *told), order).alias("r"), F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")).select(*key, "page", "r.*", "links")
     return one.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("links")))).alias("links"),
