@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators import frontier, history
 
-ARTICLE = "article_url string, fetch_time long, done boolean, n_pages long, n_chars long, title string, task_url string, links array<string>, pages string"
-STATE = "pages string, expected string, links string"
+ARTICLE = "article_url string, fetch_time long, done boolean, n_pages long, n_chars long, title string, task_url string, links array<string>, pages string, seen long"
+STATE = "pages string, expected string, links string, seen string"
 #: How long a key is kept, in milliseconds of fetch times: a week.
 KEEP = 7 * 24 * 3600 * 1000
 
@@ -23,46 +23,50 @@ def _assembler(keep: int):
         held: dict[int, list] = {}
         known: set[int] = set()
         links: set[str] = set()
+        seen, given = 0, False
         if state.exists:
-            pages, expected, found = map(json.loads, state.get)
+            pages, expected, found, seen = map(json.loads, state.get)
             held, known, links = {int(k): v for k, v in pages.items()}, set(expected), set(found)
+            given = known <= set(held)
         if state.hasTimedOut:
             state.remove()
-            if known <= set(held):  # it has been given
+            if given:
                 return
         else:
             for batch in batches:
                 for row in batch.itertuples(index=False):
+                    seen += 1
                     old = held.get(int(row.page))
-                    if old is None or row.url < old[0]:
-                        held[int(row.page)] = [None if pd.isna(x) else x for x in (row.url, row.text, row.title)]
+                    new = [None if pd.isna(x) else x for x in (row.url, row.text, row.title)] + [int(getattr(row, "place", 0))]
+                    if old is None or (new[0], new[3], new[1] or "") < (old[0], old[3], old[1] or ""):
+                        held[int(row.page)] = new
                     known.update(int(x) for x in row.expected)
                     links.update(row.links)
-            state.update((json.dumps(held), json.dumps(sorted(known)), json.dumps(sorted(links))))
+            state.update((json.dumps(held), json.dumps(sorted(known)), json.dumps(sorted(links)), json.dumps(seen)))
             state.setTimeoutTimestamp(max(1000 * int(key[1]) + keep, state.getCurrentWatermarkMs() + 1))
-            if known - set(held):
+            if known - set(held) and not given:
                 return
         order = sorted(held)
         first = held[1] if 1 in held else held[order[0]]
-        yield pd.DataFrame([{"article_url": key[0], "fetch_time": key[1], "done": known <= set(held), "n_pages": len(order), "n_chars": sum(len(held[n][1] or "") for n in order), "title": first[2], "task_url": first[0], "links": sorted(links), "pages": json.dumps([{"page": n, "text": held[n][1]} for n in order], ensure_ascii=False)}])
+        yield pd.DataFrame([{"article_url": key[0], "fetch_time": key[1], "done": known <= set(held), "n_pages": len(order), "n_chars": sum(len(held[n][1] or "") for n in order), "title": first[2], "task_url": first[0], "links": sorted(links), "pages": json.dumps([{"page": n, "text": held[n][1]} for n in order], ensure_ascii=False), "seen": seen}])
 
     return assemble
 
 
 def keyed(pages: DataFrame) -> DataFrame:
-    """(article_url, fetch_time, page, url, text, title, links, expected) from (url, fetch_time, text, links, title);
-    expected has the numbers of the article's pages that the links name."""
+    """(article_url, fetch_time, page, url, text, title, links, expected, place) from (url, fetch_time, text, links, title)
+    and perhaps place; expected has the numbers of the article's pages that the links name."""
     rows = pages.withColumn("article_url", urls.remove_pagination_params("url"))
     own = F.filter("links", lambda x: urls.remove_pagination_params(x) == F.col("article_url"))
     expected = F.array_compact(F.transform(own, lambda x: urls.page_number(x)))
     links = F.array_compact(F.coalesce("links", F.array().cast("array<string>")))
-    return rows.select("article_url", F.col("fetch_time").cast("long").alias("fetch_time"), F.coalesce(urls.page_number("url"), F.lit(1)).cast("long").alias("page"), "url", "text", "title", links.alias("links"), F.coalesce(expected, F.array().cast("array<bigint>")).alias("expected"))
+    return rows.select("article_url", F.col("fetch_time").cast("long").alias("fetch_time"), F.coalesce(urls.page_number("url"), F.lit(1)).cast("long").alias("page"), "url", "text", "title", links.alias("links"), F.coalesce(expected, F.array().cast("array<bigint>")).alias("expected"), F.col("place").cast("long") if "place" in pages.columns else F.lit(0).cast("long").alias("place"))
 
 
 def assemble(pages: DataFrame, keep: int = KEEP) -> DataFrame:
     """A stream of articles from a stream of pages, with pages in checkpointed state. An article is given when every page
-    that its links name is there, and again, whole, when more of its pages come later; of two pages with one number the
-    one of the lowest url counts. A key is forgotten when the watermark, ``keep`` milliseconds behind the newest fetch
+    that its links name is there, and again, whole, when more of its pages come later, with done false if these name
+    pages that are not there; of two pages with one number the one counts that `articles.merge` takes. A key is forgotten when the watermark, ``keep`` milliseconds behind the newest fetch
     time, is as far beyond its own; an article that is not complete by then is given as it is, with done false. `latest`
     has each article once."""
     timed = keyed(pages).withColumn("at", F.timestamp_seconds("fetch_time")).withWatermark("at", f"{keep} milliseconds")
@@ -70,10 +74,10 @@ def assemble(pages: DataFrame, keep: int = KEEP) -> DataFrame:
 
 
 def latest(given: DataFrame) -> DataFrame:
-    """Of each article and time the row with most pages, as later rows hold all pages of earlier ones; pages as an
-    array."""
+    """Of each article and time the last row, as later rows hold all pages of earlier ones and have seen more; pages as
+    an array."""
     rest = [x.split()[0] for x in ARTICLE.split(", ")][2:]
-    one = given.groupBy("article_url", "fetch_time").agg(F.max_by(F.struct(*rest), F.struct("n_pages", "done", "n_chars")).alias("r")).select("article_url", "fetch_time", "r.*")
+    one = given.groupBy("article_url", "fetch_time").agg(F.max_by(F.struct(*rest), F.struct("n_pages", F.size("links"), "seen")).alias("r")).select("article_url", "fetch_time", "r.*")
     return one.withColumn("pages", F.from_json("pages", "array<struct<page:bigint,text:string>>"))
 
 
